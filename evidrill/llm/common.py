@@ -74,7 +74,16 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs, all their columns, whose key is among kept's keys; null keys match nulls."""
-    ids = kept.select(F.col(key).alias("__keep_id")).distinct()
-    return docs.join(ids, same(docs[key], ids["__keep_id"]), "left_semi")
+#: Rows up to which a table of a few numbers a row is broadcast; above, the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if counting shows that it has at most `rows` rows. df should be cut or stored."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs, all their columns, whose key isn't among dropped's keys; null keys match nulls."""
+    ids = cut(dropped.select(F.col(key).alias("__drop_id")).distinct())
+    return docs.join(small(ids), same(docs[key], F.col("__drop_id")), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidrill.llm.common import cut, same
+from evidrill.llm.common import cut, same, small
 
 #: Words in a window.
 WINDOW = 13
@@ -131,8 +131,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         raise ValueError("remove is 'documents' or 'spans'")
     found = scan(docs, benchmark, window, min_share)
     if remove == "documents":
-        bad = found.where("contaminated").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
-        return docs.join(bad, same(docs["doc_id"], bad["__d"]) & (F.xxhash64(docs["text"]) == bad["__k"]), "left_anti")
+        bad = cut(found.where("contaminated").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct())
+        return docs.join(small(bad), same(docs["doc_id"], F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__k")), "left_anti")
     hit = found.where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), _merged(F.col("spans")).alias("__spans")).dropDuplicates(["__d", "__k"])
     joined = docs.join(hit, same(docs["doc_id"], hit["__d"]) & (F.xxhash64(docs["text"]) == hit["__k"]), "left")
     w = words(F.col("text"))

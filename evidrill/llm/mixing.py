@@ -135,12 +135,12 @@ def _blocks(units: DataFrame, counts: DataFrame, block_rows: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row for each row of docs.
+    """(doc_id, source, size, copy, source_size, target, copies, taken), one row for each row of docs.
 
     docs: doc_id, text, source; other columns are ignored, whatever their names. copies says how often the mix has
     the document, taken = copies * size. Null texts and texts without words have size 0 and take 0 words; null
-    sources form one source, the last. Rows with the same doc_id and size are alike for the mix: they are settled as
-    one unit per copy of the row, told apart by their number among themselves. The draws hang on seed, doc_id and size alone,
+    sources form one source, the last. Rows with the same doc_id and size are alike for the mix: each is settled
+    on its own, told apart by its number among them (copy, from 1). The draws hang on seed, doc_id and size alone,
     so reruns agree. An empty input gives an empty result.
     """
     base = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
@@ -179,4 +179,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
         units = units.withColumn("won", F.lit(0).cast("long"))
     won = F.coalesce(F.col("won"), F.lit(0))
     rows = units.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("copies", F.col("whole") + F.when(F.col("copy") <= won, 1).otherwise(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "copy", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+MIX_COLUMNS = ("size", "source_size", "target", "copies", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of docs that it takes, with their columns and MIX_COLUMNS (which replace columns of docs of
+    these names); copies says how often a row stands in the mix."""
+    mix = mix_sources(docs, **options).where("copies > 0")
+    mix = mix.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copy").alias("__c"), *[F.col(c).alias(f"__{c}") for c in MIX_COLUMNS])
+    sized = docs.withColumn("__words", word_count(F.col("text")))
+    rows = sized.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "source", "__words").orderBy("text")))
+    on = rows["doc_id"].eqNullSafe(mix["__d"]) & rows["source"].eqNullSafe(mix["__s"]) & (rows["__words"] == mix["__n"]) & (rows["__copy"] == mix["__c"])
+    joined = rows.join(mix, on)
+    return joined.select(*[docs[c] for c in docs.columns if c not in MIX_COLUMNS], *[F.col(f"__{c}").alias(c) for c in MIX_COLUMNS])
