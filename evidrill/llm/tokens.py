@@ -45,13 +45,31 @@ def version_of(path: str) -> str:
 CHUNK_CHARS = 1_000_000
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, blob) of texts: blob is the compressed text, which halves what the shuffle writes."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        found: dict[bytes, bytes] = {}
+        for x in batch.column(0):
+            raw = x.as_py().encode("utf-8", "surrogatepass")
+            digest = hashlib.sha256(raw).digest()
+            if digest not in found:
+                found[digest] = pack(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "blob"])
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         count = load_encoder(path)
         for batch in batches:
             counts, texts, chars = [], [], 0
             for x in batch.column(1):
-                texts.append(x.as_py())
+                texts.append(unpack(x.as_py()).decode("utf-8", "surrogatepass"))
                 chars += len(texts[-1])
                 if chars >= CHUNK_CHARS:
                     counts += count(texts)
@@ -86,8 +104,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", digest)
     cached = _cache(docs, cache_path).where(F.col("version") == version).select("digest", "n_tokens")
     # equal texts meet in the map-side aggregate, so a text goes to the shuffle once a task at most
-    missing = keyed.select("digest", "text").groupBy("digest").agg(F.first("text").alias("text")).join(cached, "digest", "left_anti")
-    fresh = missing.select("digest", "text").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
+    packed = keyed.select("text").mapInArrow(_packed, "digest binary, blob binary")
+    missing = packed.groupBy("digest").agg(F.first("blob").alias("blob")).join(cached, "digest", "left_anti")
+    fresh = missing.select("digest", "blob").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = _cache(docs, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     rows = cut(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
