@@ -177,12 +177,12 @@ def fit_groups(vectors: DataFrame, min_group: int = MIN_GROUP, steps: int = STEP
     start = cut(start.withColumn("inverse", inverse))
     sizes, now = start.select("level", "g", "size"), start.select("level", "g", "centre", "inverse")
     for _ in range(steps):
-        far = rows.join(now, ["level", "g"]).select("level", "g", "x", _distance().alias("d2"))
+        far = rows.join(small(now, MAX_BROADCAST_GROUPS), ["level", "g"]).select("level", "g", "x", _distance().alias("d2"))
         bins = far.groupBy("level", "g", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
         lists = bins.groupBy("level", "g").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins")).join(sizes, ["level", "g"])
         core = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("bin")), lambda s, b: F.struct((s["n"] + b["n"]).alias("n"), F.coalesce(s["bin"], F.when(s["n"] + b["n"] >= F.lit(CORE) * F.col("size"), b["bin"])).alias("bin")), lambda s: s["bin"])
         edge = cut(lists.select("level", "g", core.alias("edge")))
-        near = far.join(edge, ["level", "g"]).where(_bin(F.col("d2")) <= F.col("edge")).select("level", "g", "x")
+        near = far.join(small(edge, MAX_BROADCAST_GROUPS), ["level", "g"]).where(_bin(F.col("d2")) <= F.col("edge")).select("level", "g", "x")
         now = cut(_sums(near).mapInArrow(_estimates, "level int, g string, centre array<double>, inverse array<double>, logdet double")).select("level", "g", "centre", "inverse")
     return now
 
