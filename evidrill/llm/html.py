@@ -178,6 +178,7 @@ PATTERNS = (
     (0, 60, 0.0, 8, 0.0, 45, 0.0, 1), (0, 35, 0.1, 50, 0.0, 20, 0.0, 1), (0, 18, 0.0, 60, 0.0, 70, 0.0, 1), (0, 200, 0.05, 1, 0.0, 9, 0.0, 1),
     (0, 4, 0.0, 50, 0.0, 55, 0.0, 1), (0, 1, 0.0, 40, 0.0, 30, 0.0, 1), (0, 12, 0.0, 20, 0.0, 3, 0.0, 1), (0, 25, 0.2, 3, 1.0, 40, 0.0, 1),
     (0, 100, 0.1, 0, 0.0, 0, 0.0, 1), (0, 16, 0.0, 0, 0.0, 0, 0.0, 1), (0, 3, 0.0, 30, 0.0, 12, 0.0, 1), (0, 90, 0.0, 4, 1.0, 2, 1.0, 1),
+    (0, 40, 0.0, 2, 0.0, 1, 1.0, 1), (0, 18, 0.0, 30, 0.0, 2, 1.0, 1), (0, 22, 0.1, 3, 1.0, 2, 1.0, 1),
     # headings
     (1, 7, 0.0, 2, 1.0, 50, 0.0, 1), (1, 2, 0.0, 40, 0.0, 40, 0.0, 1), (1, 3, 0.0, 6, 1.0, 60, 0.0, 1), (1, 1, 0.0, 30, 0.0, 25, 0.0, 1),
     (1, 2, 0.0, 3, 1.0, 2, 1.0, 0), (1, 3, 0.0, 2, 0.0, 1, 1.0, 0),

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidrill.llm.common import cut
+from evidrill.llm.common import cut, small
 
 #: Documents in one flight. A block is one pandas group of two numbers a row.
 BLOCK_ROWS = 4096
@@ -188,10 +188,13 @@ MIX_COLUMNS = ("size", "source_size", "target", "copies", "taken")
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs that it takes, with their columns and MIX_COLUMNS (which replace columns of docs of
     these names); copies says how often a row stands in the mix."""
-    mix = mix_sources(docs, **options).where("copies > 0")
-    mix = mix.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copy").alias("__c"), *[F.col(c).alias(f"__{c}") for c in MIX_COLUMNS])
-    sized = docs.withColumn("__words", word_count(F.col("text")))
-    rows = sized.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "source", "__words").orderBy("text")))
+    plan = cut(mix_sources(docs, **options))
+    mix = cut(plan.where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copy").alias("__c"), *[F.col(c).alias(f"__{c}") for c in MIX_COLUMNS]))
+    rows = docs.withColumn("__words", word_count(F.col("text")))
+    if plan.where("copy > 1").isEmpty():
+        rows = rows.withColumn("__copy", F.lit(1))
+    else:  # rows that agree in id, source and size are told apart by their number, for which they have to meet
+        rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "source", "__words").orderBy("text")))
     on = rows["doc_id"].eqNullSafe(mix["__d"]) & rows["source"].eqNullSafe(mix["__s"]) & (rows["__words"] == mix["__n"]) & (rows["__copy"] == mix["__c"])
-    joined = rows.join(mix, on)
+    joined = rows.join(small(mix), on)
     return joined.select(*[docs[c] for c in docs.columns if c not in MIX_COLUMNS], *[F.col(f"__{c}").alias(c) for c in MIX_COLUMNS])
