@@ -43,6 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows in a partition of a packed table.
+PACKED_ROWS = 20_000
+
+
+def packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(df) in as few partitions as its rows need, and the number of rows.
+
+    Iterative operators end with small tables; without this each of their shuffles would still write files for as many tasks as the
+    first one had partitions.
+    """
+    out = cut(df)
+    rows = out.count()
+    need = max(1, -(-rows // PACKED_ROWS))
+    return (out.coalesce(need) if need < out.rdd.getNumPartitions() else out), rows
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it back."""
     path = scratch_path(df.sparkSession, what)
