@@ -74,5 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL for the queries whose method SQL can express; tests/llm holds the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontam.SCAN_SQL.format(docs="documents"),
+    "op4_filter_urls": urls.SQL,
+    "op7_near_duplicates": neardup.SQL,
     "op10_resolve_revisits": revisits.QUERY_SQL,
 }

@@ -89,3 +89,30 @@ def filter_urls(pages: DataFrame, edges: DataFrame, rules: tuple[tuple[str, str,
     out = p.join(fate, F.col("__key") == F.col("node"), "left")
     moved = F.col("__r").isNull() & F.coalesce("blocked", F.lit(False))
     return out.select("page_id", "url", "host", "path", F.col("__r.rule").alias("rule"), F.when(moved, "block").otherwise(F.coalesce(F.col("__r.verdict"), F.lit("allow"))).alias("verdict"), "component", moved.alias("propagated"))
+
+
+def _rule_sql(host: str, path: str, rules: tuple[tuple[str, str, str], ...], value: int) -> str:
+    cases = [f"when ({host} = '{r[1]}' or {host} like '%.{r[1]}') and starts_with({path}, '{r[2]}') then '{r[1] + r[2] if value == 0 else r[0]}'" for r in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
+    return f"case {' '.join(cases)} end"
+
+
+_HOST = "coalesce(translate(case when instr({u}, '://') > 0 then regexp_extract(substr({u}, instr({u}, '://') + 3), '^([^/?#]*)', 1) end, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = "coalesce(case when instr({u}, '://') > 0 then regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1) end, '')"
+_REST = "regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^#]*)', 1)"
+_KEY = f"case when instr({{u}}, '://') > 0 then regexp_replace({_HOST}, ':(80|443)$', '') || (case when {_REST} = '' then '/' when {_REST}[1] = '?' then '/' || {_REST} else {_REST} end) end"
+
+#: DuckDB SQL for op4, with absolute link targets.
+SQL = f"""
+with recursive t as (
+  select url, unnest(list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\\b[^>]*>'), lambda x: regexp_matches(x, '(?i)rel\\s*=\\s*["'']?canonical')), lambda x: regexp_extract(x, '(?i)href\\s*=\\s*["'']?([^"''\\s>]+)', 1))) as target from pages where url is not null
+  union all
+  select url, unnest(list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<meta\\b[^>]*>'), lambda x: regexp_matches(x, '(?i)http-equiv\\s*=\\s*["'']?refresh')), lambda x: regexp_extract(x, '(?i)url\\s*=\\s*[''"]?([^''"\\s>;]+)', 1))) from pages where url is not null),
+l as (select distinct {_KEY.format(u="url")} as a, {_KEY.format(u="target")} as b from t where instr(url, '://') > 0 and instr(target, '://') > 0),
+e as (select a as x, b as y from l union all select b, a from l),
+r as (select x as node, x as o from e union select r.node, e.y from r join e on r.o = e.x),
+bad as (select distinct node from r where {_rule_sql("(" + _HOST.format(u="('http://' || o)") + ")", "(" + _PATH.format(u="('http://' || o)") + ")", RULES, 1)} = 'block'),
+p as (select page_id, {_HOST.format(u="url")} as host, {_PATH.format(u="url")} as path, {_KEY.format(u="url")} as k from pages)
+select page_id, host, path, {_rule_sql("host", "path", RULES, 0)} as rule,
+  coalesce({_rule_sql("host", "path", RULES, 1)}, case when k in (select node from bad) then 'block' else 'allow' end) as verdict
+from p
+"""
