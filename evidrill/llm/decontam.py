@@ -25,7 +25,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def words(text: Column) -> Column:
     """The normalised words: A-Z in lower case, runs of digits, letters a-z and all characters beyond ASCII."""
     parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def _anchor(hashes: Column, at: Column, length: int) -> Column:
@@ -54,24 +54,32 @@ def hit_windows(docs: DataFrame, windows: DataFrame, window: int = WINDOW, broad
     distinct = cut(windows.groupBy("length", "anchor", "tokens").agg(F.min(F.struct("item_id")).alias("first")).select("length", "anchor", "tokens", F.xxhash64("length", "tokens").alias("window_id")))
     count = distinct.count()
     lengths = sorted(r[0] for r in distinct.select("length").distinct().collect())  # at most `window` numbers
+    if not lengths:
+        none = docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("window_id"))
+        return none.where("false")
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     base = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    found = None
-    for n in lengths:
-        mine = distinct.where(F.col("length") == n).select(F.col("anchor").alias("a"), "tokens", "window_id")
-        starts = F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - F.lit(n))).otherwise(F.array().cast("array<int>"))
-        at = base.select("doc_id", "text_key", "w", F.posexplode(F.transform(starts, _anchor_at(n))).alias("start", "anchor"))
-        tokens = F.slice("w", F.col("start") + 1, F.lit(n))
-        if count <= broadcast_windows:  # the words stay in the generating row; only hits leave the stage
-            hit = at.join(F.broadcast(mine), at["anchor"] == mine["a"]).where(tokens == F.col("tokens"))
-        else:  # a position goes to the shuffle with its own words only
-            at = at.select("doc_id", "text_key", "start", "anchor", tokens.alias("own"))
-            hit = at.join(mine, (at["anchor"] == mine["a"]) & (at["own"] == mine["tokens"]))
-        hit = hit.select("doc_id", "text_key", "start", F.lit(n).alias("length"), "window_id")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("window_id")).where("false")
-    return found
+    # the fingerprints of all lengths in one array, so that a text is split once
+    places = {n: F.greatest(F.size("w") - F.lit(n - 1), F.lit(0)) for n in lengths}
+    anchors = F.concat(*[F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - F.lit(n)), _anchor_at(n))).otherwise(F.array().cast("array<bigint>")) for n in lengths])
+    at = base.select("doc_id", "text_key", "w", F.posexplode(anchors).alias("pos", "anchor"))
+    before, length, start = F.lit(0), F.lit(lengths[-1]), F.col("pos")
+    for k, n in enumerate(lengths[:-1]):
+        here = F.col("pos") < before + places[n]
+        length = F.when(here, F.lit(n)) if k == 0 else length.when(here, F.lit(n))
+        start = F.when(here, F.col("pos") - before) if k == 0 else start.when(here, F.col("pos") - before)
+        before = before + places[n]
+    if len(lengths) > 1:
+        length, start = length.otherwise(F.lit(lengths[-1])), start.otherwise(F.col("pos") - before)
+    mine = distinct.select(F.col("anchor").alias("a"), F.col("length").alias("l"), "tokens", "window_id")
+    if count <= broadcast_windows:  # the words stay in the generating row; only hits leave the stage
+        hit = at.join(F.broadcast(mine), at["anchor"] == mine["a"]).withColumn("start", start).withColumn("length", length)
+        hit = hit.where((F.col("length") == F.col("l")) & (F.slice("w", F.col("start") + 1, F.col("length")) == F.col("tokens")))
+    else:  # a position goes to the shuffle with its own words only
+        at = at.withColumn("start", start).withColumn("length", length)
+        at = at.select("doc_id", "text_key", "start", "length", "anchor", F.slice("w", F.col("start") + 1, F.col("length")).alias("own"))
+        hit = at.join(mine, (at["anchor"] == mine["a"]) & (at["length"] == mine["l"]) & (at["own"] == mine["tokens"]))
+    return hit.select("doc_id", "text_key", "start", "length", "window_id")
 
 
 def _covered(spans: Column) -> Column:
