@@ -87,3 +87,14 @@ def keep_first(rows: DataFrame, key: str, *order) -> DataFrame:
     """The first row of each key, in an explicit order."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i")
+
+
+def nested(m: DataFrame) -> DataFrame:
+    """(protein, cells): one row a protein with its cells as an array of structs, ordered by the design."""
+    cell = F.struct("protocol", "experiment", "sample_type", "replicate", "value")
+    return m.groupBy("protein").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+
+
+def coverage(m: DataFrame) -> DataFrame:
+    """(protocol, experiment, proteins, cells, values): what each experiment holds; uneven numbers of proteins show files that differ."""
+    return m.groupBy("protocol", "experiment").agg(F.countDistinct("protein").alias("proteins"), F.count("*").alias("cells"), F.count("value").alias("n_values"))

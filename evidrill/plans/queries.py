@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from evidrill.functions import columns as C
 from evidrill.operators import curate, detection, diagnostics, differential, embeddings, fdr, inference, mixture, network, prep, priors
+from evidrill.plans import points
 from evidrill.plans import views as V
 from evidrill.session import table
+from evidrill.sources import pairs as pair_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -791,6 +793,94 @@ def curation_full(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows, "v", digits=4)
 
 
+# --- points, sources, coverage -----------------------------------------------------------------------------------------
+
+
+@query(f"with {V.MEASUREMENTS} select protocol, experiment, count(distinct protein) as proteins, count(*) as cells, count(value) as n_values from m group by all")
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return prep.coverage(V.measurements(spark, sf))
+
+
+@query(f"with {V.MEASUREMENTS} select protein, count(*) as n, round(avg(value), 6) as mean, min(protocol * 1000 + experiment * 100 + replicate) as first from m group by protein")
+def nested_cells(spark: SparkSession, sf: str) -> DataFrame:
+    n = prep.nested(V.measurements(spark, sf))
+    there = F.filter(F.transform("cells", lambda c: c["value"]), lambda v: v.isNotNull())
+    first = F.array_min(F.transform("cells", lambda c: c["protocol"] * 1000 + c["experiment"] * 100 + c["replicate"]))
+    return rounded(n.select("protein", F.size("cells").cast("long").alias("n"), (F.aggregate(there, F.lit(0.0), lambda s, v: s + v) / F.size(there)).alias("mean"), first.alias("first")), "mean")
+
+
+@query("select round(quantile_cont(o_totalprice, 0.001), 4) as lo, round(quantile_cont(o_totalprice, 0.999), 4) as hi from orders")
+def axis_limits(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(points.axis_limits(table(spark, sf, "orders"), "o_totalprice"), "lo", "hi", digits=4)
+
+
+@query(f"with {V.RESULTS} select protein, round(-log10(least(greatest(q, 2.220446049250313e-16), 1.0)), 5) + 0.0 as minus_log10_q, round(log10(bf_enrichment), 5) + 0.0 as log10_enrichment, round(log10(bf_correlation), 5) + 0.0 as log10_correlation, round(log10(bf_detected), 5) + 0.0 as log10_detected from rs")
+def evidence_points(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(points.evidence_points(V.results(spark, sf)), "minus_log10_q", "log10_enrichment", "log10_correlation", "log10_detected", digits=5)
+
+
+@query(f"with {SENSITIVITY}, t as (select protein, max(posterior) filter (setting = '3-3') as baseline, min(posterior) as min, max(posterior) as max, max(posterior) - min(posterior) as range from sv group by protein) select protein, round(baseline, 5) as baseline, round(min, 5) as min, round(max, 5) as max, round(range, 5) as range from t order by t.range desc, protein limit 10")
+def tornado(spark: SparkSession, sf: str) -> DataFrame:
+    t = points.tornado(diagnostics.sensitivity_summary(_sensitivity(spark, sf), "3-3"), 10)
+    return rounded(t, "baseline", "min", "max", "range", digits=5)
+
+
+@query(f"with {V.RESULTS}, b as (select cast(least(floor(posterior * 20), 19) as int) as bin, count(*) as n from rs group by 1) select cast(r.bin as int) as bin, cast(coalesce(n, 0) as bigint) as n from (select unnest(range(0, 20)) as bin) r left join b on b.bin = r.bin")
+def probability_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return points.histogram(V.results(spark, sf), "posterior")
+
+
+@query()
+def quantile_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(points.quantile_pairs(_residuals(spark, sf), "z", 19), "share", "sample", "normal", digits=5)
+
+
+@query(f"with {DRAWS}, r as (select entity, row_number() over (partition by draw order by value desc, entity) as rank from dr) select entity, round(quantile_cont(rank, 0.5), 6) as median, round(quantile_cont(rank, 0.025), 6) as lo, round(quantile_cont(rank, 0.975), 6) as hi from r group by entity")
+def rank_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(points.rank_bands(diagnostics.ranks(_draws(spark, sf))), "median", "lo", "hi")
+
+
+@query(f"with {DRAWS}, r as (select entity, row_number() over (partition by draw order by value desc, entity) as rank from dr) select entity, round(avg(rank), 6) as mean_rank, quantile_cont(rank, 0.5) as median_rank from r group by entity")
+def mean_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.mean_ranks(diagnostics.ranks(_draws(spark, sf))), "mean_rank")
+
+
+@query("with recursive p as (select distinct s_nationkey || '.P' || s_suppkey as a, (s_nationkey + 1) || '.Q' || s_suppkey as b from supplier) select distinct split_part(x, '.', 1) as species from (select a as x from p union all select b from p)")
+def species_ids(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    name = lambda k, p: F.concat(k.cast("string"), F.lit(f".{p}"), F.col("s_suppkey").cast("string"))
+    return pair_files.species_ids(s.select(name(F.col("s_nationkey"), "P").alias("protein1"), name(F.col("s_nationkey") + 1, "Q").alias("protein2")))
+
+
+@query("with s as (select l_suppkey as x, l_partkey as y, l_discount as nscore from lineitem where l_linenumber = 5), k as (select least(x, y) as lo, greatest(x, y) as hi, max(nscore) as nscore from s group by all) select cast(7 as bigint) as a, vec_id as b, coalesce(nscore, 0.0) + 0.0 as nscore from embeddings left join k on lo = least(7, vec_id) and hi = greatest(7, vec_id) where vec_id <> 7")
+def prediction_table(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("protein"), "embedding")
+    s = table(spark, sf, "lineitem").where("l_linenumber = 5").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_discount").alias("nscore"))
+    t = pair_files.prediction_table(7, v.select("protein"), s, v, ("nscore",))
+    return t.select(F.col("a").cast("long").alias("a"), "b", (F.col("nscore") + F.lit(0.0)).alias("nscore"))
+
+
+@query(f"with {GRAPH}, ps as (select n_nationkey as a, n_nationkey + 3 as b, (n_nationkey % 10) / 10.0 as score from nation), k as (select * from ps where score >= 0.4 and a in (select x from bw) and b in (select x from bw)), w as (select a, b, round(least(greatest(score, 0.001), 0.999) * 0.998 / ((1 - least(greatest(score, 0.001), 0.999)) * 0.002) * 0.05 / (least(greatest(score, 0.001), 0.999) * 0.998 / ((1 - least(greatest(score, 0.001), 0.999)) * 0.002) * 0.05 + 0.95), 6) as weight from k) select cast(a as bigint) as source, cast(b as bigint) as target, weight from w union all select b, a, weight from w")
+def network_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    g = _graph(spark, sf)
+    n = F.col("n_nationkey")
+    pairs = table(spark, sf, "nation").select(n.cast("long").alias("a"), (n + 3).cast("long").alias("b"), ((n % 10) / 10.0).alias("score"))
+    proteins = network.degrees(g).select("protein")
+    e = network.enriched(g.limit(0), pairs, proteins)
+    return rounded(e.select("source", "target", "weight"), "weight")
+
+
+@query()
+def factor_curve(spark: SparkSession, sf: str) -> DataFrame:
+    m = inference.score_proteins(V.measurements(spark, sf)).select("protein", F.col("mean_log2fc").alias("mean"), F.col("sd_log2fc").alias("sd"))
+    return rounded(points.factor_curve(m, -2, 2, 0.5), "threshold", "probability", "bf", digits=4)
+
+
+@query()
+def cluster_seed(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.seed_by_clusters(mixture.triplets(V.evidence(spark, sf))).select("protein", "w")
+
+
 # --- inference ---------------------------------------------------------------------------------------------------------
 
 _SCORES = ("bf_enrichment", "mean_log2fc", "sd_log2fc", "pd_log2fc", "ci_lo", "ci_hi", "bf_correlation", "mean_slope", "sd_slope")
