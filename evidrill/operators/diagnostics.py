@@ -129,6 +129,37 @@ def count_checks(c: DataFrame, alpha: int = 3, beta: int = 3, draws: int = 1000,
     return rows.mapInPandas(run, f"protein {kind}, observed long, p_difference double")
 
 
+def pit_values(r: DataFrame, z: str = "z") -> DataFrame:
+    """r with pit, the normal distribution function of the standardised residual."""
+    from evidrill.functions.columns import normal_cdf
+
+    return r.withColumn("pit", normal_cdf(F.col(z)))
+
+
+def regression_checks(m: DataFrame, bait, nu: float | None = None, draws: int = 500, seed: int = 42, tau_base: float = 1.0) -> DataFrame:
+    """(protein, p_mean, p_sd): posterior predictive p-values of the bait regression's responses, Normal or Student-t."""
+    from evidrill.operators.inference import fit_regression
+    from evidrill.operators.priors import with_bait
+
+    kind = dict(m.dtypes)["protein"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["protocol", "experiment", "sample_type", "replicate"])
+        y = pdf["y"].to_numpy()
+        row: dict[str, object] = {"protein": pdf["protein"].iloc[0], "p_mean": None, "p_sd": None}
+        if len(y) >= 4:
+            fit = fit_regression(pdf["x"].to_numpy(), y, pdf["protocol"].to_numpy(), tau_base, nu)
+            rng = np.random.default_rng([seed, int(pdf["h"].iloc[0]) & 0x7FFFFFFF])
+            line = rng.multivariate_normal(fit["mean"], fit["cov"], draws, method="cholesky") @ fit["design"].T
+            noise = rng.standard_t(nu, line.shape) / math.sqrt(tau_base) if nu else rng.normal(size=line.shape) / np.sqrt(fit["weights"])
+            rep = line + noise
+            row |= {"p_mean": float((rep.mean(axis=1) >= y.mean()).mean()), "p_sd": float((rep.std(axis=1) >= y.std()).mean())}
+        return pd.DataFrame([row])
+
+    pairs = with_bait(m, bait).withColumn("h", F.xxhash64("protein"))
+    return pairs.groupBy("protein").applyInPandas(run, f"protein {kind}, p_mean double, p_sd double")
+
+
 # --- sensitivity ----------------------------------------------------------------------------------------------------
 
 
@@ -147,6 +178,17 @@ def sensitivity(evidence: DataFrame, counts: DataFrame, priors: tuple[tuple[int,
     return out
 
 
+def share_sensitivity(evidence: DataFrame, priors: tuple[str, ...] = ("default", "permissive", "stringent"), method: str = "copula") -> DataFrame:
+    """(protein, setting, posterior, q): the evidence combined anew under each named prior of the share of interactions."""
+    from evidrill.operators.mixture import combined
+
+    out = None
+    for name in priors:
+        one = with_q(combined(evidence, method=method, prior=name).select("protein", F.lit(name).alias("setting"), "posterior"), "posterior", "q", key="protein")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def sensitivity_summary(s: DataFrame, baseline: str) -> DataFrame:
     """(protein, baseline, mean, sd, min, max, range) of the posterior over settings."""
     base = F.max(F.when(F.col("setting") == baseline, F.col("posterior")))

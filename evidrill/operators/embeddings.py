@@ -230,3 +230,34 @@ def fit_ensemble(rows: DataFrame, features: list[str], label: str = "label", key
 def predict_ensemble(rows: DataFrame, model: dict[str, object], name: str = "prior") -> DataFrame:
     p = predict_naive_bayes(predict_logistic(rows, model["lr"], "p_lr"), model["nb"], "p_nb")
     return predict_logistic(p, model["meta"], name).drop("p_lr", "p_nb")
+
+
+def fit_boosting(rows: DataFrame, features: list[str], label: str = "label", trees: int = 20, depth: int = 3, seed: int = 0):
+    """Gradient-boosted trees on histogram splits, by Spark's own library."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    assembler = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep")
+    return Pipeline(stages=[assembler, GBTClassifier(featuresCol="__features", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)]).fit(rows)
+
+
+def predict_boosting(rows: DataFrame, model, name: str = "prior") -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).withColumn(name, F.get(vector_to_array("probability"), F.lit(1))).select(*rows.columns, name)
+
+
+def tuned(rows: DataFrame, features: list[str], label: str, key: str, fits: dict[str, tuple], folds: int = 5) -> list[tuple[str, float]]:
+    """(name, Brier score) of each way to fit and predict, by cross-validation over hashed folds; the best first."""
+    r = rows.withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(folds))).cache()
+    out = []
+    for name, (fit, predict) in fits.items():
+        total, n = 0.0, 0
+        for k in range(folds):
+            rest = predict(r.where(F.col("__fold") == k), fit(r.where(F.col("__fold") != k), features, label), "__p")
+            s, c = rest.agg(F.sum((F.col("__p") - F.col(label)) ** 2), F.count("*")).first()
+            total, n = total + (s or 0.0), n + c
+        out.append((name, total / max(n, 1)))
+    r.unpersist()
+    return sorted(out, key=lambda x: x[1])

@@ -416,6 +416,21 @@ def protein_flags(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics.protein_flags(m, z, least=12, outlier=1.5)
 
 
+_T = "(1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)))"
+_ERF = f"(1 - (((((1.061405429 * {_T} - 1.453152027) * {_T} + 1.421413741) * {_T} - 0.284496736) * {_T} + 0.254829592) * {_T}) * exp(-z * z / 2))"
+
+
+@query(f"with {RESIDUALS} select protein, count(*) as n, round(avg(case when z >= 0 then 0.5 * (1 + {_ERF}) else 0.5 * (1 - {_ERF}) end), 5) as mean_pit from z where protein <> 1 group by protein")
+def pit_values(spark: SparkSession, sf: str) -> DataFrame:
+    p = diagnostics.pit_values(_residuals(spark, sf)).groupBy("protein").agg(F.count("*").alias("n"), F.avg("pit").alias("mean_pit"))
+    return rounded(p, "mean_pit", digits=5)
+
+
+@query()
+def regression_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diagnostics.regression_checks(V.measurements(spark, sf), BAIT, draws=200), "p_mean", "p_sd")
+
+
 SENS_EV = "se as (select l_suppkey as protein, round(exp((avg(l_quantity) - 25.5)), 6) as e, round(exp((avg(l_discount) - 0.05) * 200), 6) as c from lineitem group by l_suppkey)"
 SENSITIVITY = f"{COUNTS}, {SENS_EV}, g0 as (select c.*, alpha, se.e, se.c as cc from c join se using (protein), (select unnest([1, 2, 3, 5, 10]) as alpha)), g1 as (select *, {_beta_sql('alpha', 'alpha')} as p from g0), g2 as (select protein, alpha, p / (1 - p) * e * cc / 9 as odds from g1), sv as (select protein, alpha || '-' || alpha as setting, odds / (1 + odds) as posterior from g2), sq as (select *, avg(1 - posterior) over (partition by setting order by posterior desc, protein rows between unbounded preceding and current row) as q from sv)"
 
@@ -688,6 +703,14 @@ def meta_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(embeddings.predict_ensemble(rows, model).select("pair", "label", "prior"), "prior", digits=4)
 
 
+@query()
+def boosted_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    rows = li.select(F.col("l_orderkey").alias("pair"), F.col("l_discount").alias("nscore"), (F.col("l_quantity") / 50).alias("pscore"), (F.col("l_quantity") > 30).cast("int").alias("label"))
+    model = embeddings.fit_boosting(rows, ["nscore", "pscore"], trees=5)
+    return rounded(embeddings.predict_boosting(rows, model).select("pair", "label", "prior"), "prior", digits=4)
+
+
 # --- curation ----------------------------------------------------------------------------------------------------------
 
 RAW = """raw as (select s_suppkey as row, case s_suppkey % 8 when 0 then 'CON__P' || s_suppkey when 1 then 'rev__X' || s_suppkey when 2 then 'sp|P1234' || s_suppkey % 10 || '|NAME' || s_suppkey % 20 || '_HUMAN'

@@ -89,3 +89,25 @@ def test_network_run(spark):
     assert (s["nodes"], s["edges"]) == (3, 3) and s["density"] == pytest.approx(1.0)
     with pytest.raises(ValueError):
         network.run(r.where("protein = 'bait'"), "bait")
+
+
+def test_boosting_and_tuning(spark):
+    from evidrill.operators import embeddings
+
+    rows = spark.range(200).select(F.col("id").alias("pair"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 100.0).alias("x")).withColumn("label", (F.abs(F.col("x") - 0.5) < 0.2).cast("int"))
+    p = embeddings.predict_boosting(rows, embeddings.fit_boosting(rows, ["x"], trees=3))
+    assert p.columns == [*rows.columns, "prior"] and embeddings.auc(p, "prior").first()["auc"] > 0.95
+    ways = {"lr": (embeddings.fit_logistic, embeddings.predict_logistic), "nb": (embeddings.fit_naive_bayes, embeddings.predict_naive_bayes)}
+    assert embeddings.tuned(rows, ["x"], "label", "pair", ways, folds=2)[0][0] == "nb"  # the middle of x isn't linear
+
+
+def test_pit_and_regression_checks(spark):
+    from evidrill.operators import diagnostics
+
+    z = spark.createDataFrame([(0.0,), (1.959964,)], "z double")
+    assert [round(r["pit"], 4) for r in diagnostics.pit_values(z).collect()] == [0.5, 0.975]
+    rng = np.random.default_rng(1)
+    rows = [(1, 1, p, "Sample", r, float(20 + x + (0.1 * rng.normal() if p == 2 else 0))) for r, x in enumerate(rng.normal(size=12)) for p in (1, 2)]
+    m = spark.createDataFrame(rows, "protocol int, experiment int, protein long, sample_type string, replicate int, value double")
+    got = {r["protein"]: r for r in diagnostics.regression_checks(m, 1, draws=100, tau_base=50.0).collect()}
+    assert 0 <= got[2]["p_mean"] <= 1 and 0 <= got[2]["p_sd"] <= 1
