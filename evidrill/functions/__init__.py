@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column expressions and distribution functions."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators on DataFrames: preparation, curation, models, fusion, comparison, diagnostics, networks."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Input views, whole analyses, registered queries, caches, reports."""
