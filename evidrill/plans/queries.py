@@ -904,6 +904,46 @@ def cluster_seed(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.seed_by_clusters(mixture.triplets(V.evidence(spark, sf))).select("protein", "w")
 
 
+@query(f"with {V.RESULTS}, t as (select * from rs order by bf desc, protein limit 10), o as (select * from rs where protein not in (select protein from t) order by md5('42:' || protein), protein limit 10) select protein, bf from t union all select protein, bf from o")
+def top_and_random_pick(spark: SparkSession, sf: str) -> DataFrame:
+    return diagnostics.top_and_random(V.results(spark, sf), 20).select("protein", "bf")
+
+
+@query(f"with {SENSITIVITY}, r as (select protein, setting, rank() over (partition by setting order by round(posterior, 9)) + (count(*) over (partition by setting, round(posterior, 9)) - 1) / 2.0 as k from sv) select a.setting as a, b.setting as b, round(corr(a.k, b.k), 4) as rho from r a join r b using (protein) where a.setting < b.setting group by all")
+def setting_rank_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    s = _sensitivity(spark, sf).withColumn("posterior", F.round("posterior", 9))
+    return rounded(diagnostics.rank_correlations(s), "rho", digits=4)
+
+
+@query(f"with {DIFF}, c as (select *, {_POSTERIOR} as class from j) select class, count(*) as n, round(avg(log10_dbf), 4) + 0.0 as mean_log10_dbf, round(avg(delta_log2fc), 5) + 0.0 as mean_delta_log2fc from c group by class")
+def diff_summary(spark: SparkSession, sf: str) -> DataFrame:
+    d = differential.summary_rows(differential.classified(_shared(spark, sf), differential.Thresholds(q=0.3, log2fc=0.1)))
+    return rounded(rounded(d, "mean_log10_dbf", digits=4), "mean_delta_log2fc", digits=5)
+
+
+@query("with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings) select a.vec_id as protein, cast(len(a.e) * 2 as int) as n, round(list_sum(a.e) + list_sum(b.e), 4) + 0.0 as total from v a join v b on b.vec_id = a.vec_id + 1")
+def combined_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("protein"), "embedding")
+    c = embeddings.combined_embeddings(v, v.withColumn("protein", F.col("protein") - 1))
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return rounded(c.select("protein", F.size("embedding").alias("n"), total.alias("total")), "total", digits=4)
+
+
+@query()
+def mixture_restarts(spark: SparkSession, sf: str) -> DataFrame:
+    p = mixture.triplets(V.evidence(spark, sf)).cache()
+    h0 = mixture.fit_joint(p)
+    _, rows = mixture.fit_mixture_restarts(p, h0, (0.8, 0.95), steps=15, family="Frank")
+    return spark.createDataFrame([(float(r["start"]), round(r["share"], 4), round(r["loglik"], 2), int(r["steps"]), bool(r["converged"])) for r in rows], "start double, share double, loglik double, steps int, converged boolean")
+
+
+@query()
+def nu_trace(spark: SparkSession, sf: str) -> DataFrame:
+    m = V.measurements(spark, sf).cache()
+    _, trace = inference.optimal_nu(m, BAIT, tol=12.0)
+    return rounded(spark.createDataFrame([(float(a), float(b)) for a, b in trace], "nu double, waic double"), "nu", "waic", digits=3)
+
+
 # --- inference ---------------------------------------------------------------------------------------------------------
 
 _SCORES = ("bf_enrichment", "mean_log2fc", "sd_log2fc", "pd_log2fc", "ci_lo", "ci_hi", "bf_correlation", "mean_slope", "sd_slope")

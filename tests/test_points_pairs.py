@@ -111,3 +111,21 @@ def test_pit_and_regression_checks(spark):
     m = spark.createDataFrame(rows, "protocol int, experiment int, protein long, sample_type string, replicate int, value double")
     got = {r["protein"]: r for r in diagnostics.regression_checks(m, 1, draws=100, tau_base=50.0).collect()}
     assert 0 <= got[2]["p_mean"] <= 1 and 0 <= got[2]["p_sd"] <= 1
+
+
+def test_shares_splits_and_communities(spark):
+    from evidrill.operators import curate, diagnostics, embeddings
+
+    rng = np.random.default_rng(8)
+    x = np.exp(np.vstack([rng.normal(0, 1, (60, 3)), rng.normal(4, 0.7, (12, 3))]))
+    e = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "protein long, bf_enrichment double, bf_correlation double, bf_detected double")
+    s = diagnostics.share_sensitivity(e, ("default", "stringent"), method="latent")
+    assert s.count() == 2 * 72 and s.select("setting").distinct().count() == 2
+    vec = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(60)], "protein long, embedding array<double>")
+    seed, value = embeddings.best_split(vec, "protein", tries=2, ratios=(0.5, 0.25, 0.25))
+    assert seed in (0, 1) and -3 <= value <= 3
+    c = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "protein string, community int")
+    assert {r["community"]: r["n"] for r in network.community_sizes(c).collect()} == {1: 2, 2: 1}
+    assert {r["protein"] for r in network.community_members(c, 1).collect()} == {"a", "b"}
+    assert curate.mapping_cache_key(["b", "a", "a"], 9606) == curate.mapping_cache_key(["a", "b"], 9606)
+    assert diagnostics.normal_quantile_pairs(3)[1] == pytest.approx(0)
