@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,16 +73,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def record_batch(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, type=t) for _, t, v in columns], names=[n for n, _, _ in columns])
-
-
-def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[str | None]:
-    """The column's values, one at a time, so that only one decoded text is held."""
-    for x in batch.column(column):
-        yield x.as_py()
-
-
 def same(a: Column, b: Column) -> Column:
     """Equality under which nulls are equal; still an equi-join key."""
     return a.eqNullSafe(b)
