@@ -38,10 +38,10 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_evidrill_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "evidrill.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted((root / "evidrill").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        sc.addPyFile(path)
+    # the file has to stay while the session runs: the driver hands it out
+    path = os.path.join(tempfile.mkdtemp(prefix="evidrill-"), "evidrill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "evidrill").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(path)
     sc._evidrill_shipped = True
