@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidrill.llm.common import cut
+from evidrill.llm.common import cut, packed
 from evidrill.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,6 +78,8 @@ def filter_urls(pages: DataFrame, edges: DataFrame, rules: tuple[tuple[str, str,
     block of its aliases. component is the smallest canonical url of the component, null for urls without edges. Null urls and urls without ://
     have an empty host and path, no rule and no aliases, and are allowed. Null ends of edges are ignored.
     """
+    # few pages have edges: they are cut first, so that finding them and bringing them to their form are two plans of a compilable size
+    edges, _ = packed(edges.select("url", "target").where("url is not null and target is not null"))
     links = edges.select(canonical_url(F.col("url")).alias("a"), canonical_url(F.col("target")).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     components = cut(connected_components(links))
     key = F.concat(F.lit("http://"), F.col("node"))
