@@ -6,6 +6,7 @@ Doubles are rounded on both sides; NaN never leaves a query.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -542,22 +543,26 @@ GRAPH = """eg as (select a.l_suppkey as source, b.l_suppkey as target, count(*)
 bw as (select source as x, target as y, weight from eg union all select target, source, weight from eg)"""
 
 
-def _graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers that share an order of large lines, thinned by a rule on their keys."""
-    o = table(spark, sf, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_suppkey").distinct()
+#: The same over all lines and all pairs of suppliers.
+WHOLE_GRAPH = GRAPH.replace(" where l_quantity > 40", "").replace(" having (a.l_suppkey * 7 + b.l_suppkey) % 23 = 0", "")
+
+
+def _graph(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Suppliers that share an order; unless whole, of large lines and thinned by a rule on their keys, as GRAPH is."""
+    o = table(spark, sf, "lineitem").where("true" if whole else "l_quantity > 40").select("l_orderkey", "l_suppkey").distinct()
     j = o.select("l_orderkey", F.col("l_suppkey").alias("source")).join(o.select("l_orderkey", F.col("l_suppkey").alias("target")), "l_orderkey")
-    j = j.where("source < target and (source * 7 + target) % 23 = 0")
+    j = j.where("source < target" if whole else "source < target and (source * 7 + target) % 23 = 0")
     return j.groupBy("source", "target").agg(F.count("*").cast("double").alias("weight")).withColumn("edge_source", F.when(F.col("weight") > 1, "database").otherwise("bait"))
 
 
 @query(f"with {GRAPH} select case when weight > 1 then 'database' else 'bait' end as edge_source, count(*) as n, round(avg(weight), 6) as mean_weight from eg group by 1")
-def edge_source_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(network.source_summary(_graph(spark, sf)), "mean_weight")
+def edge_source_summary(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return rounded(network.source_summary(_graph(spark, sf, whole)), "mean_weight")
 
 
 @query(f"with {GRAPH} select x as protein, count(*) as degree, sum(weight) as weighted_degree from bw group by x")
-def node_degree(spark: SparkSession, sf: str) -> DataFrame:
-    return network.degrees(_graph(spark, sf))
+def node_degree(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return network.degrees(_graph(spark, sf, whole))
 
 
 TRI = GRAPH + """, tr as (select a.x, count(*) as t from bw a join bw b on a.x = b.x and a.y < b.y join eg c on c.source = a.y and c.target = b.y group by a.x),
@@ -565,53 +570,63 @@ cl as (select d.x as protein, case when d.k > 1 then 2.0::double * coalesce(t, 0
 
 
 @query(f"with {TRI} select protein, round(clustering, 6) as clustering from cl")
-def clustering_coefficient(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(network.clustering(_graph(spark, sf)), "clustering")
+def clustering_coefficient(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return rounded(network.clustering(_graph(spark, sf, whole)), "clustering")
 
 
 REACH = "reach as (select x as protein, x as other from bw union select r.protein, b.y from reach r join bw b on r.other = b.x), comp as (select protein, min(other) as component from reach group by protein)"
 
 
 @query(f"with recursive {GRAPH}, {REACH} select * from comp")
-def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return network.components(_graph(spark, sf))
+def connected_components(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return network.components(_graph(spark, sf, whole))
 
 
 @query(f"with recursive {TRI}, {REACH}, nn as (select cast(count(distinct x) as bigint) as nodes, sum(weight) as w from bw), ee as (select count(*) as edges from eg) select nodes, edges, round(2.0::double * edges / (nodes * (nodes - 1)), 6) as density, round(2.0::double * edges / nodes, 6) as mean_degree, round(w / nodes, 6) as mean_weighted_degree, round((select sum(clustering) from cl) / nodes, 6) as mean_clustering, (select count(distinct component) from comp) as components from nn, ee")
-def network_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(network.statistics(_graph(spark, sf)), "density", "mean_degree", "mean_weighted_degree", "mean_clustering")
+def network_statistics(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return rounded(network.statistics(_graph(spark, sf, whole)), "density", "mean_degree", "mean_weighted_degree", "mean_clustering")
 
 
 @query(f"with {GRAPH}, k as (select x, x % 4 as c, count(*) as d from bw group by x), m as (select count(*) as m from eg), i as (select source % 4 as c, count(*) as n from eg where source % 4 = target % 4 group by 1), d as (select c, sum(d) as d from k group by c) select round(sum(coalesce(i.n, 0) / m - pow(d.d / (2 * m), 2)), 6) + 0.0 as modularity from d left join i on i.c = d.c, m")
-def modularity(spark: SparkSession, sf: str) -> DataFrame:
-    e = _graph(spark, sf)
+def modularity(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    e = _graph(spark, sf, whole)
     c = network.degrees(e).select("protein", (F.col("protein") % 4).alias("community"))
     return rounded(network.modularity(e, c), "modularity")
 
 
 @query(f"with {GRAPH} select x as protein, count(*) as degree, sum(weight) as weighted_degree from bw group by x order by 2 desc, 1 limit 10")
-def top_hubs(spark: SparkSession, sf: str) -> DataFrame:
-    return network.top_hubs(network.degrees(_graph(spark, sf)))
+def top_hubs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return network.top_hubs(network.degrees(_graph(spark, sf, whole)))
 
 
 @query(f"with recursive {GRAPH}, dd as (select x, count(*) as d from bw group by x), pr as (select 0 as i, x, 1.0::double / (select count(*) from dd) as r from dd union all select i + 1, x, r from (select p.i, b.y as x, 0.15 / (select count(*) from dd) + 0.85 * sum(p.r / dd.d) as r from pr p join dd on dd.x = p.x join bw b on b.x = p.x where p.i < 20 group by p.i, b.y)) select x as protein, round(r, 6) as pagerank from pr where i = 20")
-def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(network.pagerank(_graph(spark, sf)), "pagerank")
+def pagerank(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return rounded(network.pagerank(_graph(spark, sf, whole)), "pagerank")
 
 
 @query()
 def network_centralities(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(network.centralities(_graph(spark, sf)), "betweenness", "closeness", "eigenvector", "pagerank")
+    return rounded(network.centralities(_graph(spark, sf, True)), "betweenness", "closeness", "eigenvector", "pagerank")
 
 
 @query()
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    return network.label_propagation(_graph(spark, sf))
+    return network.label_propagation(_graph(spark, sf, True))
 
 
 @query()
 def greedy_modularity(spark: SparkSession, sf: str) -> DataFrame:
-    return network.greedy_modularity(_graph(spark, sf))
+    return network.greedy_modularity(_graph(spark, sf, True))
+
+
+def _register_whole(source: str, whole: str, *names: str) -> None:
+    """whole_<name>: the named queries without their input's filter, each held to its own SQL over all rows."""
+    for name in names:
+        QUERIES[f"whole_{name}"] = partial(QUERIES[name], whole=True)
+        SQL[f"whole_{name}"] = SQL[name].replace(source, whole)
+
+
+_register_whole(GRAPH, WHOLE_GRAPH, "edge_source_summary", "node_degree", "clustering_coefficient", "connected_components", "network_statistics", "modularity", "top_hubs", "pagerank")
 
 
 # --- pairs and embeddings ----------------------------------------------------------------------------------------------
@@ -893,6 +908,17 @@ def network_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.select("source", "target", "weight"), "weight")
 
 
+_CLAMPED = "least(greatest(score, 0.001), 0.999)"
+_KNOWN = f"{_CLAMPED} * 0.998 / ((1 - {_CLAMPED}) * 0.002) * 0.05"
+
+
+@query(f"with {WHOLE_GRAPH}, ps as (select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, max(l_discount * 10) as score from lineitem where l_partkey <> l_suppkey group by all), k as (select * from ps where score >= 0.4 and a in (select x from bw) and b in (select x from bw)), w as (select a, b, round({_KNOWN} / ({_KNOWN} + 0.95), 6) as weight from k) select source, target, weight, case when weight > 1 then 'database' else 'bait' end as edge_source from eg union all select a, b, weight, 'database' from w union all select b, a, weight, 'database' from w")
+def whole_network_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    g = _graph(spark, sf, True)
+    pairs = table(spark, sf, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), (F.col("l_discount") * 10).alias("score"))
+    return rounded(network.enriched(g, pairs, network.degrees(g).select("protein")), "weight")
+
+
 @query()
 def factor_curve(spark: SparkSession, sf: str) -> DataFrame:
     m = inference.score_proteins(V.measurements(spark, sf)).select("protein", F.col("mean_log2fc").alias("mean"), F.col("sd_log2fc").alias("sd"))
