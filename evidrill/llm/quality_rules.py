@@ -24,16 +24,17 @@ SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 
-#: Transformed statistics, and the least spread that each is taken to have: below it, differences say nothing.
+#: Transformed statistics, and the least spread that each is taken to have, which keeps the covariance regular: in a group without any, more
+#: than 14 % repeated words or duplicate lines alone are an outlier, a single repeated phrase isn't.
 STATISTICS = ("word_length", "symbols", "repeats", "duplicate_lines", "capitals")
-FLOORS = (0.12, 0.60, 1.20, 1.20, 0.35)
+FLOORS = (0.06, 0.30, 0.60, 0.60, 0.20)
 #: Share of a group that the estimate rests on, and concentration steps.
 CORE = 0.5
 STEPS = 6
 #: Documents below which a group's estimate isn't its own: its language's takes its place, then that of all documents.
 MIN_GROUP = 200
-#: Squared distance beyond which a document is an outlier: the chi-squared quantile of 1 - 1e-6 for five statistics.
-CUTOFF = 37.33
+#: Squared distance beyond which a document is an outlier: the chi-squared quantile of 0.999 for five statistics.
+CUTOFF = 20.52
 #: Groups up to which the estimates (some 300 bytes a group) are broadcast to the documents; above, the join shuffles.
 MAX_BROADCAST_GROUPS = 20_000
 #: Bins of a factor of two in the histogram of squared distances.
