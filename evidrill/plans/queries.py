@@ -318,43 +318,43 @@ j as (select *, avg(1 - dp) over (order by dp desc, protein rows between unbound
 )
 
 
-def _shared(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = V.conditions(spark, sf)
+def _shared(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    a, b = V.conditions(spark, sf, whole)
     return differential.with_differential_q(differential.shared(a, b))
 
 
 @query(f"with {DIFF} select protein, round(log10_dbf, 5) + 0.0 as log10_dbf, round(delta_log2fc, 6) + 0.0 as delta_log2fc, round(delta_posterior, 6) + 0.0 as delta_posterior, round(least(greatest(bf_enrichment_a / greatest(bf_enrichment_b, 2.220446049250313e-16), 1e-8), 1e8), 4) as dbf_enrichment, round(dq, 5) as differential_q from j")
-def diff_inner(spark: SparkSession, sf: str) -> DataFrame:
-    j = _shared(spark, sf).select("protein", "log10_dbf", "delta_log2fc", "delta_posterior", "dbf_enrichment", "differential_q")
+def diff_inner(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    j = _shared(spark, sf, whole).select("protein", "log10_dbf", "delta_log2fc", "delta_posterior", "dbf_enrichment", "differential_q")
     return rounded(rounded(rounded(j, "log10_dbf", "differential_q", digits=5), "dbf_enrichment", digits=4), "delta_log2fc", "delta_posterior")
 
 
 @query(f"with {V.CONDITIONS} select protein, 'CONDITION_A_SPECIFIC' as class from ca where protein not in (select protein from cb) union all select protein, 'CONDITION_B_SPECIFIC' from cb where protein not in (select protein from ca)")
-def diff_condition_specific(spark: SparkSession, sf: str) -> DataFrame:
-    return differential.specific(*V.conditions(spark, sf)).select("protein", "class")
+def diff_condition_specific(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return differential.specific(*V.conditions(spark, sf, whole)).select("protein", "class")
 
 
 _POSTERIOR = "case when dq < 0.3 and posterior_a > 0.8 and posterior_b <= 0.8 and delta_log2fc >= 0 then 'GAINED' when dq < 0.3 and posterior_a <= 0.8 and posterior_b > 0.8 and delta_log2fc <= 0 then 'REDUCED' when dq < 0.3 and posterior_a > 0.8 and posterior_b > 0.8 and delta_log2fc > 0.1 then 'GAINED' when dq < 0.3 and posterior_a > 0.8 and posterior_b > 0.8 and delta_log2fc < -0.1 then 'REDUCED' when dq < 0.3 and posterior_a <= 0.8 and posterior_b <= 0.8 then 'BOTH_NEGATIVE' else 'UNCHANGED' end"
 
 
 @query(f"with {DIFF} select protein, {_POSTERIOR} as class from j")
-def diff_classify_posterior(spark: SparkSession, sf: str) -> DataFrame:
-    return differential.classified(_shared(spark, sf), differential.Thresholds(q=0.3, log2fc=0.1)).select("protein", "class")
+def diff_classify_posterior(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return differential.classified(_shared(spark, sf, whole), differential.Thresholds(q=0.3, log2fc=0.1)).select("protein", "class")
 
 
 @query(f"with {DIFF} select protein, case when dq < 1.0 and log10_dbf > 1 then 'GAINED' when dq < 1.0 and log10_dbf < -1 then 'REDUCED' else 'UNCHANGED' end as class from j")
-def diff_classify_dbf(spark: SparkSession, sf: str) -> DataFrame:
-    return differential.classified(_shared(spark, sf), differential.Thresholds(q=1.0, method="dbf")).select("protein", "class")
+def diff_classify_dbf(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return differential.classified(_shared(spark, sf, whole), differential.Thresholds(q=1.0, method="dbf")).select("protein", "class")
 
 
 @query(f"with {DIFF} select protein, case when dq < 1.0 and abs(log10_dbf) > 0.5 and posterior_a > 0.7 and posterior_b <= 0.7 and log10_dbf > 0 then 'GAINED' when dq < 1.0 and abs(log10_dbf) > 0.5 and posterior_a <= 0.7 and posterior_b > 0.7 and log10_dbf < 0 then 'REDUCED' when dq < 1.0 and abs(log10_dbf) > 0.5 and posterior_a > 0.7 and posterior_b > 0.7 and log10_dbf > 0 and delta_log2fc > 0.1 then 'GAINED' when dq < 1.0 and abs(log10_dbf) > 0.5 and posterior_a > 0.7 and posterior_b > 0.7 and log10_dbf < 0 and delta_log2fc < -0.1 then 'REDUCED' else 'UNCHANGED' end as class from j")
-def diff_classify_combined(spark: SparkSession, sf: str) -> DataFrame:
-    return differential.classified(_shared(spark, sf), differential.Thresholds(posterior=0.7, q=1.0, log2fc=0.1, dbf=0.5, method="combined")).select("protein", "class")
+def diff_classify_combined(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return differential.classified(_shared(spark, sf, whole), differential.Thresholds(posterior=0.7, q=1.0, log2fc=0.1, dbf=0.5, method="combined")).select("protein", "class")
 
 
 @query(f"with {DIFF}, k as (select {_POSTERIOR} as class from j union all select 'CONDITION_A_SPECIFIC' from ca where protein not in (select protein from cb) union all select 'CONDITION_B_SPECIFIC' from cb where protein not in (select protein from ca)) select n.class, cast(count(k.class) as bigint) as n from (select unnest(['GAINED', 'REDUCED', 'UNCHANGED', 'BOTH_NEGATIVE', 'CONDITION_A_SPECIFIC', 'CONDITION_B_SPECIFIC']) as class) n left join k on k.class = n.class group by n.class")
-def diff_class_counts(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = V.conditions(spark, sf)
+def diff_class_counts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    a, b = V.conditions(spark, sf, whole)
     return differential.class_counts(differential.differential(a, b, differential.Thresholds(q=0.3, log2fc=0.1)))
 
 
@@ -364,8 +364,8 @@ def volcano_significant(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"with {DIFF} select protein, round((mean_log2fc_a + mean_log2fc_b) / 2 + 1e-9, 6) + 0.0 as average, round(delta_log2fc + 1e-9, 6) + 0.0 as difference from j")
-def ma_points(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(differential.ma_points(differential.shared(*V.conditions(spark, sf))), "average", "difference", shift=SHIFT)
+def ma_points(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return rounded(differential.ma_points(differential.shared(*V.conditions(spark, sf, whole))), "average", "difference", shift=SHIFT)
 
 
 # --- diagnostics -------------------------------------------------------------------------------------------------------
@@ -522,8 +522,8 @@ PPI = "pp as (select l_partkey as a, l_suppkey as b, l_discount * 10 as s from l
 
 
 @query(f"with {PPI}, w as (select a, b, least(greatest(s, 0.001), 0.999) as s from pp) select a, b, round(s * 0.998 / ((1 - s) * 0.002) * 0.05 / (s * 0.998 / ((1 - s) * 0.002) * 0.05 + 0.95), 6) as weight from w")
-def ppi_weight(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1")
+def ppi_weight(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    li = table(spark, sf, "lineitem").where("true" if whole else "l_linenumber = 1")
     return rounded(li.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), C.association_weight(F.col("l_discount") * 10).alias("weight")), "weight")
 
 
@@ -532,8 +532,8 @@ def _odds(c: str) -> str:
 
 
 @query(f"with w as (select l_partkey as a, l_suppkey as b, {_odds('l_discount')} * {_odds('l_tax')} as o from lineitem where l_linenumber = 2) select a, b, round(o * 0.05 / (o * 0.05 + 0.95), 6) as weight from w")
-def ppi_channel_weight(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_linenumber = 2")
+def ppi_channel_weight(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    li = table(spark, sf, "lineitem").where("true" if whole else "l_linenumber = 2")
     return rounded(li.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), C.channel_weight([F.col("l_discount"), F.col("l_tax")]).alias("weight")), "weight")
 
 
@@ -644,10 +644,10 @@ def pair_key_min(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("with p as (select distinct l_partkey as a, l_suppkey as b from lineitem where l_linenumber = 1), s as (select l_suppkey as x, l_partkey as y, max(l_discount) as nscore from lineitem where l_linenumber > 4 group by all), k as (select least(x, y) as lo, greatest(x, y) as hi, max(nscore) as nscore from s group by all) select a, b, coalesce(nscore, 0.0) as nscore from p left join k on lo = least(a, b) and hi = greatest(a, b)")
-def unordered_pair_join(spark: SparkSession, sf: str) -> DataFrame:
+def unordered_pair_join(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    p = li.where("l_linenumber = 1").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
-    s = li.where("l_linenumber > 4").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_discount").alias("nscore"))
+    p = li.where("true" if whole else "l_linenumber = 1").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    s = li.where("true" if whole else "l_linenumber > 4").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_discount").alias("nscore"))
     return embeddings.with_channels(p, s, ("nscore",)).withColumn("nscore", F.col("nscore") + F.lit(0.0))
 
 
@@ -712,16 +712,16 @@ def principal_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def meta_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1")
-    rows = li.select(F.col("l_orderkey").alias("pair"), F.col("l_discount").alias("nscore"), F.col("l_tax").alias("fscore"), (F.col("l_quantity") / 50).alias("pscore"), (F.col("l_quantity") > 30).cast("int").alias("label"))
+    li = table(spark, sf, "lineitem")
+    rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair"), F.col("l_discount").alias("nscore"), F.col("l_tax").alias("fscore"), (F.col("l_quantity") / 50).alias("pscore"), (F.col("l_quantity") > 30).cast("int").alias("label"))
     model = embeddings.fit_ensemble(rows, ["nscore", "fscore", "pscore"], folds=3)
     return rounded(embeddings.predict_ensemble(rows, model).select("pair", "label", "prior"), "prior", digits=4)
 
 
 @query()
 def boosted_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1")
-    rows = li.select(F.col("l_orderkey").alias("pair"), F.col("l_discount").alias("nscore"), (F.col("l_quantity") / 50).alias("pscore"), (F.col("l_quantity") > 30).cast("int").alias("label"))
+    li = table(spark, sf, "lineitem")
+    rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair"), F.col("l_discount").alias("nscore"), (F.col("l_quantity") / 50).alias("pscore"), (F.col("l_quantity") > 30).cast("int").alias("label"))
     model = embeddings.fit_boosting(rows, ["nscore", "pscore"], trees=5)
     return rounded(embeddings.predict_boosting(rows, model).select("pair", "label", "prior"), "prior", digits=4)
 
@@ -891,9 +891,9 @@ def species_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("with s as (select l_suppkey as x, l_partkey as y, l_discount as nscore from lineitem where l_linenumber = 5), k as (select least(x, y) as lo, greatest(x, y) as hi, max(nscore) as nscore from s group by all) select cast(7 as bigint) as a, vec_id as b, coalesce(nscore, 0.0) + 0.0 as nscore from embeddings left join k on lo = least(7, vec_id) and hi = greatest(7, vec_id) where vec_id <> 7")
-def prediction_table(spark: SparkSession, sf: str) -> DataFrame:
+def prediction_table(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("protein"), "embedding")
-    s = table(spark, sf, "lineitem").where("l_linenumber = 5").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_discount").alias("nscore"))
+    s = table(spark, sf, "lineitem").where("true" if whole else "l_linenumber = 5").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_discount").alias("nscore"))
     t = pair_files.prediction_table(7, v.select("protein"), s, v, ("nscore",))
     return t.select(F.col("a").cast("long").alias("a"), "b", (F.col("nscore") + F.lit(0.0)).alias("nscore"))
 
@@ -942,8 +942,8 @@ def setting_rank_correlations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"with {DIFF}, c as (select *, {_POSTERIOR} as class from j) select class, count(*) as n, round(avg(log10_dbf), 4) + 0.0 as mean_log10_dbf, round(avg(delta_log2fc), 5) + 0.0 as mean_delta_log2fc from c group by class")
-def diff_summary(spark: SparkSession, sf: str) -> DataFrame:
-    d = differential.summary_rows(differential.classified(_shared(spark, sf), differential.Thresholds(q=0.3, log2fc=0.1)))
+def diff_summary(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    d = differential.summary_rows(differential.classified(_shared(spark, sf, whole), differential.Thresholds(q=0.3, log2fc=0.1)))
     return rounded(rounded(d, "mean_log10_dbf", digits=4), "mean_delta_log2fc", digits=5)
 
 
@@ -970,6 +970,14 @@ def nu_trace(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame([(float(a), float(b)) for a, b in trace], "nu double, waic double"), "nu", "waic", digits=3)
 
 
+_register_whole(V.CONDITIONS, V.WHOLE_CONDITIONS, "diff_inner", "diff_condition_specific", "diff_classify_posterior", "diff_classify_dbf", "diff_classify_combined", "diff_class_counts", "ma_points", "diff_summary")
+for _line in (1, 2):
+    _register_whole(f" where l_linenumber = {_line}", "", ("ppi_weight", "ppi_channel_weight")[_line - 1])
+_register_whole(" where l_linenumber = 5", "", "prediction_table")
+_register_whole(" where l_linenumber = 1", "", "unordered_pair_join")
+SQL["whole_unordered_pair_join"] = SQL["whole_unordered_pair_join"].replace(" where l_linenumber > 4", "")
+
+
 # --- inference ---------------------------------------------------------------------------------------------------------
 
 _SCORES = ("bf_enrichment", "mean_log2fc", "sd_log2fc", "pd_log2fc", "ci_lo", "ci_hi", "bf_correlation", "mean_slope", "sd_slope")

@@ -70,8 +70,11 @@ rs as (select *, case when posterior = 0 then 1.0 else avg(1 - posterior) over (
 )
 
 
-def conditions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two result tables of one domain: parts sold before 1998-06-01 and from then on, each with fields of a result."""
+def conditions(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two result tables of one domain: parts sold before 1998-06-01 and from then on, each with fields of a result.
+
+    Unless whole, parts whose number of lines on a side is divisible by 5 are left out of it, as in CONDITIONS.
+    """
     li = table(spark, sf_dir, "lineitem")
 
     def side(rows: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def conditions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             F.round((F.sum(odd) + 1.0) / (F.sum(1 - odd) + 1.0), 6).alias("bf_detected"),
             F.round(F.log2(F.avg("l_extendedprice")) - 15, 6).alias("mean_log2fc"),
         )
-        r = r.where("n % 5 <> 0").drop("n")
+        r = r.where("true" if whole else "n % 5 <> 0").drop("n")
         r = r.withColumn("bf", F.round(F.col("bf_enrichment") * F.col("bf_correlation") * F.col("bf_detected"), 6))
         return r.withColumn("posterior", F.round(F.col("bf") / (1 + F.col("bf")), 6))
 
@@ -100,3 +103,5 @@ def _side_sql(name: str, where: str) -> str:
 
 
 CONDITIONS = _side_sql("ca", "l_shipdate < timestamp '1998-06-01'") + ",\n" + _side_sql("cb", "l_shipdate >= timestamp '1998-06-01'")
+#: The same with all parts.
+WHOLE_CONDITIONS = CONDITIONS.replace(" where n % 5 <> 0", "")
