@@ -52,6 +52,27 @@ def canonical_url(url: Column) -> Column:
     return F.when(_after_scheme(url).isNotNull(), F.concat(host, rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its . and .. segments resolved (RFC 3986, 5.2.4)."""
+    parts = F.slice(F.split(path, "/", -1), 2, 1_000_000)
+    last = F.element_at(parts, -1)
+    up = lambda s: F.when(F.size(s) > 0, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda s, x: F.when(x == "..", up(s)).when(x == ".", s).otherwise(F.concat(s, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def _resolved(url: Column, target: Column) -> Column:
+    """The relative target that starts with no / against url: by its directory, a query by its path, a fragment by all of it. Null for other schemes."""
+    scheme = F.regexp_extract(url, r"^([^:]+)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(url))
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    joined = F.concat(root, _without_dots(F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), own)), rest)
+    whole = F.when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^([^#]*)", 1), target)).when(target.startswith("?"), F.concat(root, path, target)).otherwise(joined)
+    return F.when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & _after_scheme(url).isNotNull(), whole)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(url, target): canonical links, refresh redirects in the html of pages. Targets may be relative; other pages give no row."""
     h = F.coalesce(F.col("html"), F.lit(""))
@@ -65,7 +86,7 @@ def page_edges(pages: DataFrame) -> DataFrame:
     found = pages.where(F.col("url").isNotNull() & h.rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(F.concat(hrefs, urls)).alias("target"))
     target = F.regexp_replace(F.trim("target"), "&amp;", "&")
     scheme = F.regexp_extract("url", r"^([^:]+)://", 1)
-    absolute = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(scheme, F.lit(":"), F.col("target"))).when(F.col("target").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), F.col("target")))
+    absolute = F.when(F.col("target").rlike("^[^/?#]*://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(scheme, F.lit(":"), F.col("target"))).when(F.col("target").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), F.col("target"))).otherwise(_resolved(F.col("url"), F.col("target")))
     return found.withColumn("target", target).where("target <> ''").select("url", absolute.alias("target")).where("target is not null")
 
 
