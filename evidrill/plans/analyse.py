@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidrill.operators import detection, fdr, inference, mixture, prep
 
+#: Permuted proteins of the null set, as in the reference.
+NULL_SIZE = 25_000
+
 
 def evidence_of(m: DataFrame, bait, prior: inference.Priors, nu: float | None = None, missing_detection: float = 0.0) -> DataFrame:
     """(protein, three Bayes factors, mean_log2fc, sd_log2fc) from one grouped map and one aggregate."""
@@ -26,16 +31,24 @@ def null_evidence(m: DataFrame, bait, prior: inference.Priors, copies: int, nu:
     return out.where((F.col("protein") != F.lit(bait)) & (F.col("bf_correlation") != 0)).withColumn("protein", key).drop("copy")
 
 
-def analyse(m: DataFrame, bait, method: str = "average", normalise: bool = False, null_copies: int = 1, nu: float | None = None, share_prior: str = "default", prior_table: DataFrame | None = None) -> DataFrame:
+def copies_for(proteins: int) -> int:
+    """How many permuted copies of so many proteins make a null set of NULL_SIZE."""
+    return math.ceil(NULL_SIZE / max(proteins, 1))
+
+
+def analyse(m: DataFrame, bait, method: str = "average", normalise: bool = False, null_copies: int | None = None, nu: float | None = None, share_prior: str = "default", prior_table: DataFrame | None = None) -> DataFrame:
     """The result table: protein, bf, posterior, q, mean_log2fc, the three factors; ordered by q, then falling fold change.
 
+    null_copies: permuted copies of the data for the null set; by default as many as bring it to NULL_SIZE proteins.
     prior_table (protein, prior): a learned prior that replaces the mixture's share where given.
     """
     if normalise:
         m = prep.normalized(m)
     prior = inference.estimate_priors(m, bait)
     e = evidence_of(m, bait, prior, nu).cache()
-    null = null_evidence(m, bait, prior, null_copies, nu) if null_copies and method != "latent" else None
+    if null_copies is None and method != "latent":
+        null_copies = copies_for(m.select("protein").distinct().count())
+    null = null_evidence(m, bait, prior, null_copies, nu).cache() if null_copies and method != "latent" else None
     fused = mixture.combined(e, null, method, bait, share_prior)
     r = fused.join(e, "protein")
     r = fdr.updated_posterior(r.drop("posterior"), prior_table).drop("prior") if prior_table is not None else fdr.with_q(r, "posterior", "q", key="protein")

@@ -1037,5 +1037,5 @@ def model_average(spark: SparkSession, sf: str) -> DataFrame:
 def full_analysis(spark: SparkSession, sf: str) -> DataFrame:
     from evidrill.plans.analyse import analyse
 
-    r = analyse(V.measurements(spark, sf), bait=BAIT, null_copies=1)
+    r = analyse(V.measurements(spark, sf), bait=BAIT)
     return rounded(r, "bf", "posterior", "q", "mean_log2fc", "bf_enrichment", "bf_correlation", "bf_detected", digits=4)
