@@ -429,7 +429,7 @@ def pit_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def regression_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnostics.regression_checks(V.measurements(spark, sf), BAIT, draws=200), "p_mean", "p_sd")
+    return rounded(diagnostics.regression_checks(V.measurements(spark, sf), BAIT), "p_mean", "p_sd")
 
 
 SENS_EV = "se as (select l_suppkey as protein, round(exp((avg(l_quantity) - 25.5)), 6) as e, round(exp((avg(l_discount) - 0.05) * 200), 6) as c from lineitem group by l_suppkey)"
@@ -464,12 +464,12 @@ def ppc_stratified_pick(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def predictive_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnostics.predictive_checks(V.measurements(spark, sf), draws=500), "p_mean", "p_sd", "p_range")
+    return rounded(diagnostics.predictive_checks(V.measurements(spark, sf)), "p_mean", "p_sd", "p_range")
 
 
 @query()
 def count_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnostics.count_checks(detection.counts(V.measurements(spark, sf)), draws=500), "p_difference")
+    return rounded(diagnostics.count_checks(detection.counts(V.measurements(spark, sf))), "p_difference")
 
 
 # --- ranks -------------------------------------------------------------------------------------------------------------
@@ -501,7 +501,7 @@ def hpdi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def power_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return diagnostics.power_curve(diagnostics.detection_power(3.0, 0.8, 0.3), (3, 6, 12), 100, 3.0, spark)
+    return diagnostics.power_curve(diagnostics.detection_power(3.0, 0.8, 0.3), (3, 6, 12), 5000, 3.0, spark)
 
 
 # --- network -----------------------------------------------------------------------------------------------------------
@@ -722,7 +722,7 @@ def meta_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def boosted_classifier(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair"), F.col("l_discount").alias("nscore"), (F.col("l_quantity") / 50).alias("pscore"), (F.col("l_quantity") > 30).cast("int").alias("label"))
-    model = embeddings.fit_boosting(rows, ["nscore", "pscore"], trees=5)
+    model = embeddings.fit_boosting(rows, ["nscore", "pscore"])
     return rounded(embeddings.predict_boosting(rows, model).select("pair", "label", "prior"), "prior", digits=4)
 
 
@@ -959,14 +959,14 @@ def combined_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def mixture_restarts(spark: SparkSession, sf: str) -> DataFrame:
     p = mixture.triplets(V.evidence(spark, sf)).cache()
     h0 = mixture.fit_joint(p)
-    _, rows = mixture.fit_mixture_restarts(p, h0, (0.8, 0.95), steps=15, family="Frank")
+    _, rows = mixture.fit_mixture_restarts(p, h0)
     return spark.createDataFrame([(float(r["start"]), round(r["share"], 4), round(r["loglik"], 2), int(r["steps"]), bool(r["converged"])) for r in rows], "start double, share double, loglik double, steps int, converged boolean")
 
 
 @query()
 def nu_trace(spark: SparkSession, sf: str) -> DataFrame:
     m = V.measurements(spark, sf).cache()
-    _, trace = inference.optimal_nu(m, BAIT, tol=12.0)
+    _, trace = inference.optimal_nu(m, BAIT)
     return rounded(spark.createDataFrame([(float(a), float(b)) for a, b in trace], "nu double, waic double"), "nu", "waic", digits=3)
 
 
