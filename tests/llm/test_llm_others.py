@@ -188,27 +188,101 @@ def clean_and_junk(make_docs, n=400):
 def test_outliers_are_rejected_and_clean_texts_kept(spark, make_docs):
     rows = clean_and_junk(make_docs)
     rows += [(1000, None, "en", "a"), (1001, "", None, None), (1002, "few words", "en", "a"), (1003, "same old words " * 60, "en", "a"), (None, rows[5][1], "en", "a")]
+    # passes the base rules, but two fifths of it are repeated lines
+    line = [rows[k][1] for k in (2, 3, 4)]
+    half = "\n".join([" ".join(line[0].split()[:40]), " ".join(line[1].split()[:40]), *([" ".join(line[2].split()[:6])] * 9)])
+    rows.append((1004, half, "en", "a"))
     docs = clashing(make_docs(rows))
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs, min_group=50).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     assert all(not got[i]["kept"] for i in range(400) if i % 10 < 2)
     assert all(got[i]["kept"] for i in range(400) if i % 10 >= 2)
     assert all(got[i]["base_failed"] and not got[i]["kept"] for i in (1000, 1001, 1002, 1003)) and got[None]["kept"]
-    kept = quality_rules.reject_outliers(docs, min_group=50)
+    assert not got[1004]["base_failed"] and not got[1004]["kept"]
+    kept = quality_rules.reject_outliers(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got.values())
     assert quality_rules.judge(docs.limit(0)).collect() == []
+    few = quality_rules.judge(make_docs(rows[2:8])).collect()  # too few for any estimate
+    assert all(r["distance"] is None and r["kept"] for r in few)
 
 
-def test_consistency_and_robustness(spark):
+def test_copies_of_one_text_dont_make_the_estimate(spark, make_docs):
+    clean = [r for r in clean_and_junk(make_docs, 200) if r[0] % 10 >= 2]
+    rows = [(i, t, "en", "a") for i, t, *_ in clean] + [(1000 + k, clean[0][1], "en", "a") for k in range(1500)]
+    assert all(r["kept"] for r in quality_rules.judge(make_docs(rows)).collect())
+
+
+def test_starts_find_the_least_determinant_of_all_halves():
+    import itertools
+
+    for seed in range(4):
+        x = np.random.default_rng(seed).normal(size=(12, 2)) @ np.array([[1.0, 0.7], [0.0, 0.5]])
+        x[:3] += 8
+        cov = lambda rows: np.cov(rows.T, bias=True) + quality_rules.RIDGE * np.eye(2)
+        want = min(np.linalg.slogdet(cov(x[list(c)]))[1] for c in itertools.combinations(range(12), 7))
+        assert quality_rules.fast_starts(x, 200, 1)[0][2] == pytest.approx(want)
+
+
+def test_consistency():
     assert quality_rules.consistency(1, 0.999999) == pytest.approx(1.0, abs=1e-3)
     assert quality_rules.consistency(2, 0.5) == pytest.approx(0.5 / (1 - 0.5 * (1 + np.log(2))), rel=1e-6)
+    assert quality_rules.chi_squared_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
+
+
+def numpy_mcd(x, runs=300):
+    """A plain one: many starts, concentration on the nearer half to a standstill, one reweighting."""
+    n, p = x.shape
+    rng, best = np.random.default_rng(9), None
+    dist = lambda c, s: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s), x - c)
+    for _ in range(runs):
+        k = rng.choice(n, p + 1, replace=False)
+        c, s = x[k].mean(0), np.cov(x[k].T) + 1e-6 * np.eye(p)
+        for _ in range(30):
+            k = np.argsort(dist(c, s))[: n // 2]
+            c, s = x[k].mean(0), np.cov(x[k].T, bias=True)
+        if best is None or np.linalg.det(s) < best[0]:
+            best = (np.linalg.det(s), c, s * quality_rules.consistency(p, 0.5))
+    k = dist(*best[1:]) <= quality_rules.chi_squared_quantile(0.975, p)
+    return x[k].mean(0), np.cov(x[k].T, bias=True) * quality_rules.consistency(p, 0.975)
+
+
+def test_estimates_equal_a_plain_one_and_groups_lean_on_their_parents(spark):
     rng = np.random.default_rng(0)
-    x = rng.normal(0, [1, 2, 3, 4, 5], (4000, 5))
-    x[:800] += 100
+    p = len(quality_rules.STATISTICS)
+    mix = np.tril(rng.uniform(0.2, 1.0, (p, p)))
+    x = rng.normal(size=(2000, p)) @ mix.T
+    x[:500] += 15
+    tiny = rng.normal(size=(20, p)) * 0.1
+    data = [("e", "s", [float(v) for v in r]) for r in x] + [("e", "t", [float(v) for v in r]) for r in tiny]
+    rows = spark.createDataFrame(data, "lang string, source string, x array<double>")
+    fits = quality_rules.fit_groups(rows)
+    f = {(r["level"], r["g"]): r for r in fits.collect()}
+    own = f[2, '{"lang":"e","source":"s"}']
+    centre, cov = numpy_mcd(x)
+    assert np.array(own["centre"]) == pytest.approx(centre, abs=0.1)
+    assert np.array(own["cov"]).reshape(p, p) == pytest.approx(cov, rel=0.15, abs=0.15)
+    g = {r["g"]: r for r in quality_rules.shrunk_groups(rows, fits).collect()}
+    w = (20 - quality_rules.LEAST) / (20 - quality_rules.LEAST + quality_rules.SHRINK)
+    t, e, a = f[2, '{"lang":"e","source":"t"}'], f[1, '{"lang":"e"}'], f[0, ""]
+    we = (2020 - quality_rules.LEAST) / (2020 - quality_rules.LEAST + quality_rules.SHRINK)
+    parent = we * np.array(e["centre"]) + (1 - we) * np.array(a["centre"])
+    assert np.array(g['{"lang":"e","source":"t"}']["centre"]) == pytest.approx(w * np.array(t["centre"]) + (1 - w) * parent)
+
+
+def test_the_covariance_decides(spark):
+    """A vector that is usual in each statistic, but not for their correlation, goes; with the covariance's diagonal alone it stays."""
+    p = len(quality_rules.STATISTICS)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, p))
+    x[:, 2] = 0.97 * x[:, 1] + 0.24 * x[:, 2]
+    x = np.vstack([x, [0, 2, -2, 0, 0, 0]])
     rows = spark.createDataFrame([("e", "s", [float(v) for v in r]) for r in x], "lang string, source string, x array<double>")
-    f = {r["level"]: r for r in quality_rules.fit_groups(rows).collect()}
-    assert np.abs(f[2]["centre"]).max() < 0.6
-    cov = np.linalg.inv(np.array(f[2]["inverse"]).reshape(5, 5)) - np.diag(np.square(quality_rules.FLOORS))
-    assert np.sqrt(np.diag(cov)) == pytest.approx([1, 2, 3, 4, 5], rel=0.25)
+    fits = quality_rules.fit_groups(rows)
+    diagonal = F.transform("cov", lambda v, i: F.when(i % (p + 1) == 0, v).otherwise(0.0))
+    far = []
+    for f in (fits, fits.withColumn("cov", diagonal)):
+        g = quality_rules.shrunk_groups(rows, f)
+        far.append(rows.where("x[1] = 2 and x[2] = -2").join(g, quality_rules.group_key("lang", "source") == F.col("g")).select(quality_rules._distance().alias("d")).first()["d"])
+    assert far[0] > quality_rules.CUTOFF > far[1]
 
 
 # --- line classifier --------------------------------------------------------------------------------------------------
