@@ -140,6 +140,63 @@ def test_pages_without_marks_go_by_words_and_links():
     assert html.main_text(page) == f"Title here\n{long.strip()}\nShort one.\n{(long * 2).strip()}"
 
 
+LONG = "This paragraph has quite a few words in it, as paragraphs of articles do, and not a single link."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="layout has-sidebar"><article><p>{LONG}</p></article></div>', LONG),
+        (f'<article class="post no-sidebar"><p>{LONG}</p></article>', LONG),
+        (f'<section id="social-history"><p>{LONG}</p><p>{LONG}</p></section>', f"{LONG}\n{LONG}"),
+        (f'<div id="notice-of-meeting"><p>{LONG}</p></div>', LONG),
+        (f"<p title=Bob's>{LONG}</p><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+        (f'<p>{LONG}</p><img alt="5" tall"><p>{LONG}</p>', f"{LONG}\n{LONG}"),
+        (f'<article><p><a href="x">Read more here</a></p></article><div><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul>" + "".join(f"<li><a href={k}>Other page {k}</a></li>" for k in range(6)) + "</ul></article>", LONG),
+        (f'<nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav><main><p>{LONG}</p></main><div class="site-footer"><p>Words of no interest to anybody at all</p></div>', LONG),
+        (f'<article><p>{LONG}</p><div class="comments"><p>{LONG}</p></div></article><div class="sidebar-left"><p>{LONG}</p></div>', LONG),
+        (f'<a title="a > b" href=\'x\'>x</a><p data-x="<p>no</p>">{LONG}</p>', LONG),
+    ],
+)
+def test_names_and_odd_quotes_dont_lose_articles(page, text):
+    assert html.main_text(page) == text
+
+
+def test_the_tree_on_pages_it_hasnt_seen_and_by_what_it_decides():
+    pages = html.training_pages()
+    right = []
+    for k in range(len(pages)):
+        seen, new = html.labelled_table(pages[:k] + pages[k + 1 :]), html.labelled_table(pages[k : k + 1])
+        tree = html.DecisionTree().fit(seen[:, :-1], seen[:, -1])
+        right += ((tree.predict(new[:, :-1]) >= 0.5) == new[:, -1]).tolist()
+    assert np.mean(right) > 0.93
+    # of the blocks dropped from a page like the given ones, most go by words and links
+    page = "<nav><ul>" + "".join(f"<li><a href={k}>Link</a></li>" for k in range(6)) + f"</ul></nav><div class=ad>Buy this now</div><article><h1>Title</h1><p>{LONG}</p><p>Short.</p></article><footer>&copy; somebody</footer>"
+    x = html.features_of(html.blocks_of(page))
+    dropped = html.block_tree().predict(x) < 0.5
+    last = [html.FEATURES[p[-1]] for p, d in zip(html.block_tree().paths(x), dropped, strict=True) if d]
+    assert len(last) == 8 and sum(f.startswith(("words", "density")) for f in last) == 6
+    # without any mark in the markup the menu still goes, and without links too it stays
+    x[:, html.FEATURES.index("mark")] = 0
+    assert (html.block_tree().predict(x) < 0.5)[:6].all()
+    x[:, [html.FEATURES.index(f) for f in ("density", "density_before", "density_after")]] = 0
+    assert (html.block_tree().predict(x) >= 0.5)[:6].all()
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<a href=\"", "<!--", "<p x='", "<title>", "<", "<div class=a", "</", "&amp"])
+def test_time_is_linear_in_odd_pages(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html.main_text(piece * n)
+        return time.process_time() - began
+
+    html.main_text(piece)
+    assert took(40_000) < 12 * max(took(10_000), 0.02)
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>é</p></article>"), (None, None, None), (1, "u", "<article><p>é</p></article>"), (2, "v", "<article><p>" + "w " * 50_000 + "</p></article>")]
     pages = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
