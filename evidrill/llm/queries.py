@@ -28,6 +28,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     pages = read(spark, sf_dir, "pages")
     return urls.filter_urls(pages, urls.page_edges(pages)).select("page_id", "host", "path", "rule", "verdict")
 

@@ -7,6 +7,11 @@ an explicit allow takes precedence over what is propagated.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,42 +57,80 @@ def canonical_url(url: Column) -> Column:
     return F.when(_after_scheme(url).isNotNull(), F.concat(host, rest))
 
 
-def _without_dots(path: Column) -> Column:
-    """An absolute path with its . and .. segments resolved (RFC 3986, 5.2.4)."""
-    parts = F.slice(F.split(path, "/", -1), 2, 1_000_000)
-    last = F.element_at(parts, -1)
-    up = lambda s: F.when(F.size(s) > 0, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda s, x: F.when(x == "..", up(s)).when(x == ".", s).otherwise(F.concat(s, F.array(x))))
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_TAG = re.compile(r"<(link|meta|base)\b([^>]*)>", re.I)
+_VALUE = re.compile(r"""[\s"'](rel|href|http-equiv|content)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_REFRESH_URL = re.compile(r"""^[\s0-9.]*[;,]\s*url\s*=\s*['"]?([^'"\s]+)""", re.I)
+#: What a browser reads no elements in: comments, scripts, styles, titles, text areas.
+HIDDEN = r"(?is)<!--.*?(-->|\z)|<(script|style|title|textarea)\b.*?(</(script|style|title|textarea)\s*>|\z)"
+_HIDDEN = re.compile(HIDDEN.replace(r"\z", r"\Z"))
 
 
-def _resolved(url: Column, target: Column) -> Column:
-    """The relative target that starts with no / against url: by its directory, a query by its path, a fragment by all of it. Null for other schemes."""
-    scheme = F.regexp_extract(url, r"^([^:]+)://", 1)
-    root = F.concat(scheme, F.lit("://"), host_of(url))
-    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
-    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
-    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
-    joined = F.concat(root, _without_dots(F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), own)), rest)
-    whole = F.when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^([^#]*)", 1), target)).when(target.startswith("?"), F.concat(root, path, target)).otherwise(joined)
-    return F.when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & _after_scheme(url).isNotNull(), whole)
+def _without_dots(path: str) -> str:
+    """An absolute path with its . and .. segments resolved (RFC 3986, 5.2.4)."""
+    parts = path.split("/")[1:]
+    kept: list[str] = []
+    for x in parts:
+        if x == "..":
+            kept = kept[:-1]
+        elif x != ".":
+            kept.append(x)
+    return "/" + "/".join(kept) + ("/" if parts[-1] in (".", "..") and kept else "")
+
+
+def resolved(url: str, target: str) -> str | None:
+    """target as an absolute url, seen from url (RFC 3986, 5.2). None for other schemes, and for relative targets of a url without ://."""
+    scheme = _SCHEME.match(target)
+    if scheme:
+        return target if target.startswith("//", scheme.end()) else None
+    if "://" not in url:
+        return None
+    head, rest = url.split("://", 1)
+    if target.startswith("//"):
+        return f"{head}:{target}"
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    path = path or "/"
+    own, tail = re.match(r"([^?#]*)(.*)", target, re.S).groups()
+    if own:
+        return f"{head}://{host}{_without_dots(own if own[0] == '/' else path[: path.rindex('/') + 1] + own)}{tail}"
+    if target.startswith("?"):
+        return f"{head}://{host}{path}{target}"
+    return url.split("#", 1)[0] + target if target else url
+
+
+def links_of(url: str, html: str) -> list[str]:
+    """The absolute targets of a page's canonical links and refresh redirects, relative ones seen from its url or its first <base href>."""
+    base, found = None, []
+    for m in _TAG.finditer(_HIDDEN.sub("", html)):
+        values: dict[str, str] = {}
+        for name, value in _VALUE.findall(m[2]):
+            values.setdefault(name.lower(), unescape(value[1:-1] if value[0] in "\"'" else value).strip())
+        tag = m[1].lower()
+        if tag == "base":
+            base = base or values.get("href")
+        elif tag == "link" and "canonical" in values.get("rel", "").lower().split():
+            found.append(values.get("href", ""))
+        elif tag == "meta" and values.get("http-equiv", "").lower() == "refresh":
+            to = _REFRESH_URL.match(values.get("content", ""))
+            found.append(to[1] if to else "")
+    seen_from = (resolved(url, base) if base else None) or url
+    return [to for x in found if x and (to := resolved(seen_from, x)) is not None]
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(u, to) for u, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for to in links_of(u, h.as_py())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["url", "target"])
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(url, target): canonical links, refresh redirects in the html of pages. Targets may be relative; other pages give no row."""
-    h = F.coalesce(F.col("html"), F.lit(""))
-    links = F.regexp_extract_all(h, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
-    canonical = F.filter(links, lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"))
-    metas = F.regexp_extract_all(h, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
-    refresh = F.filter(metas, lambda x: x.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"))
-    hrefs = F.transform(canonical, lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0))
-    hrefs = F.transform(hrefs, lambda x: F.regexp_replace(x, r"(?i)^\s*href\s*=\s*[\"']?|[\"']$", ""))
-    urls = F.transform(refresh, lambda x: F.regexp_extract(x, r"(?i)url\s*=\s*['\"]?([^'\"\s>;]+)", 1))
-    found = pages.where(F.col("url").isNotNull() & h.rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(F.concat(hrefs, urls)).alias("target"))
-    target = F.regexp_replace(F.trim("target"), "&amp;", "&")
-    scheme = F.regexp_extract("url", r"^([^:]+)://", 1)
-    absolute = F.when(F.col("target").rlike("^[^/?#]*://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(scheme, F.lit(":"), F.col("target"))).when(F.col("target").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), F.col("target"))).otherwise(_resolved(F.col("url"), F.col("target")))
-    return found.withColumn("target", target).where("target <> ''").select("url", absolute.alias("target")).where("target is not null")
+    """(url, target): canonical links and refresh redirects in the html of pages, as absolute urls.
+
+    Links in comments, scripts and the like are none. Pages without links, with a null url or a null html give no row. Only pages that
+    name one of the two leave the JVM.
+    """
+    some = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    return some.select("url", "html").mapInArrow(_edges, "url string, target string")
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -124,12 +167,48 @@ _PATH = "coalesce(case when instr({u}, '://') > 0 then regexp_extract(substr({u}
 _REST = "regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^#]*)', 1)"
 _KEY = f"case when instr({{u}}, '://') > 0 then regexp_replace({_HOST}, ':(80|443)$', '') || (case when {_REST} = '' then '/' when {_REST}[1] = '?' then '/' || {_REST} else {_REST} end) end"
 
-#: DuckDB SQL for op4, with absolute link targets.
+#: Character references that the SQL decodes, besides numeric ones.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_NAME = "[A-Za-z][A-Za-z0-9+.-]*"
+
+
+def _attribute_sql(tag: str, name: str) -> str:
+    raw = f"""regexp_extract({tag}, '(?is)[\\s"'']{name}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', 1)"""
+    bare = f"""(case when {raw}[1] in ('"', '''') then {raw}[2 : len({raw}) - 1] else {raw} end)"""
+    parts = f"string_split({bare}, '&')"
+    code = "coalesce(try_cast(nullif(regexp_extract(x, '^#0*([0-9]{1,7});', 1), '') as bigint), try_cast('0x' || nullif(regexp_extract(x, '^#[xX]0*([0-9a-fA-F]{1,6});', 1), '') as bigint), 0)"
+    rest = "regexp_extract(x, '(?s)^[^;]*;(.*)$', 1)"
+    named = " ".join(f"when starts_with(x, '{n};') then '{c.replace(chr(39), chr(39) * 2)}' || {rest}" for n, c in NAMED.items())
+    one = f"case when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr(cast({code} as int)) || {rest} {named} else '&' || x end"
+    return f"trim({parts}[1] || array_to_string(list_transform({parts}[2:], lambda x: {one}), ''))"
+
+
+def _without_dots_sql(path: str) -> str:
+    parts = f"string_split({path}, '/')[2:]"
+    kept = f"list_reduce([[]::varchar[]] || list_transform({parts}, lambda x: [x]), lambda s, x: case when x[1] = '..' then s[1 : len(s) - 1] when x[1] = '.' then s else s || x end)"
+    return f"'/' || array_to_string({kept}, '/') || case when {parts}[-1] in ('.', '..') and len({kept}) > 0 then '/' else '' end"
+
+
+def _resolved_sql(u: str, t: str) -> str:
+    scheme, host, path = f"regexp_extract({u}, '^([^:]+)://', 1)", _HOST.format(u=u), _PATH.format(u=u)
+    path = f"(case when {path} = '' then '/' else {path} end)"
+    own, rest = f"regexp_extract({t}, '(?s)^([^?#]*)', 1)", f"regexp_extract({t}, '(?s)^[^?#]*(.*)$', 1)"
+    to = f"(case when starts_with({own}, '/') then {own} else regexp_extract({path}, '(?s)^(.*/)', 1) || {own} end)"
+    relative = f"case when {own} <> '' then {scheme} || '://' || {host} || {_without_dots_sql(to)} || {rest} when starts_with({t}, '?') then {scheme} || '://' || {host} || {path} || {t} when starts_with({t}, '#') then regexp_extract({u}, '(?s)^([^#]*)', 1) || {t} else {u} end"
+    return f"case when regexp_matches({t}, '^{_NAME}://') then {t} when regexp_matches({t}, '^{_NAME}:') or instr({u}, '://') = 0 then null when starts_with({t}, '//') then {scheme} || ':' || {t} else {relative} end"
+
+
+_TAGS = "regexp_extract_all(h, '(?is)<{}\\b[^>]*>')"
+_CANONICAL = f"list_transform(list_filter({_TAGS.format('link')}, lambda y: regexp_matches(lower({_attribute_sql('y', 'rel')}), '(^|\\s)canonical(\\s|$)')), lambda y: {_attribute_sql('y', 'href')})"
+_REFRESH = f"""list_transform(list_filter({_TAGS.format('meta')}, lambda y: lower({_attribute_sql('y', 'http-equiv')}) = 'refresh'), lambda y: regexp_extract({_attribute_sql('y', 'content')}, '(?is)^[\\s0-9.]*[;,]\\s*url\\s*=\\s*[''"]?([^''"\\s]+)', 1))"""
+_BASE = f"list_filter(list_transform({_TAGS.format('base')}, lambda y: {_attribute_sql('y', 'href')}), lambda y: y <> '')[1]"
+
+#: DuckDB SQL for op4.
 SQL = f"""
-with recursive t as (
-  select url, unnest(list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\\b[^>]*>'), lambda x: regexp_matches(x, '(?i)rel\\s*=\\s*["'']?canonical')), lambda x: regexp_extract(x, '(?i)href\\s*=\\s*["'']?([^"''\\s>]+)', 1))) as target from pages where url is not null
-  union all
-  select url, unnest(list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<meta\\b[^>]*>'), lambda x: regexp_matches(x, '(?i)http-equiv\\s*=\\s*["'']?refresh')), lambda x: regexp_extract(x, '(?i)url\\s*=\\s*[''"]?([^''"\\s>;]+)', 1))) from pages where url is not null),
+with recursive h0 as (select url, regexp_replace(html, '{HIDDEN}', '', 'g') as h from pages where url is not null and regexp_matches(html, '(?i)canonical|http-equiv')),
+t0 as (select url, {_BASE} as base, unnest({_CANONICAL} || {_REFRESH}) as target from h0),
+t1 as (select url, case when base is null then url else coalesce({_resolved_sql('url', 'base')}, url) end as seen, target from t0 where target <> ''),
+t as (select url, {_resolved_sql('seen', 'target')} as target from t1),
 l as (select distinct {_KEY.format(u="url")} as a, {_KEY.format(u="target")} as b from t where instr(url, '://') > 0 and instr(target, '://') > 0),
 e as (select a as x, b as y from l union all select b, a from l),
 r as (select x as node, x as o from e union select r.node, e.y from r join e on r.o = e.x),

@@ -92,6 +92,54 @@ def test_blocks_reach_aliases_but_not_allowed_ones(spark):
     assert urls.filter_urls(pages.limit(0), urls.page_edges(pages.limit(0))).collect() == []
 
 
+LINKS = [
+    ("http://a.com/x/y.html", '<link rel="canonical" href="c.html">', "http://a.com/x/c.html"),
+    ("http://a.com/x/y.html?q=1", "<link rel=canonical href='?p=2&amp;r=3'>", "http://a.com/x/y.html?p=2&r=3"),
+    ("http://a.com/x/y/z", '<LINK HREF="../net" REL="alternate Canonical">', "http://a.com/x/net"),
+    ("http://a.com/x/y/z", '<link rel="canonical" href="./a/./b/..">', "http://a.com/x/y/a/"),
+    ("http://a.com", '<link rel="canonical" href="../../k">', "http://a.com/k"),
+    ("http://a.com/x", '<link rel="canonical" href="/k&#47;m&#x3F;a=1&#38;b=2">', "http://a.com/k/m?a=1&b=2"),
+    ("https://a.com/x", '<link rel="canonical" href="//B.com/k">', "https://B.com/k"),
+    ("http://a.com/x", '<!-- <link rel="canonical" href="http://bad.net/"> -->', None),
+    ("http://a.com/x", "<script>var a = '<link rel=canonical href=http://bad.net/>'</script>", None),
+    ("http://a.com/x", '<link rel="stylesheet" href="http://bad.net/">', None),
+    ("http://a.com/x", '<link rel="canonical" href="mailto:x@y.z">', None),
+    ("http://a.com/x", "<base href='/dir/'><meta http-equiv=refresh content=\"0; URL='n.html;v=1?a=b&amp;c=d'\">", "http://a.com/dir/n.html;v=1?a=b&c=d"),
+    ("http://a.com/x", '<meta http-equiv="Refresh" content="5">', None),
+    ("no scheme", '<link rel="canonical" href="c.html">', None),
+    ("no scheme", '<link rel="canonical" href="http://c.com/">', "http://c.com/"),
+    (None, '<link rel="canonical" href="c.html">', None),
+]
+
+
+def test_links_of_pages_are_resolved(spark):
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(LINKS)] + [(99, "http://a.com/", None)], "page_id long, url string, html string")
+    got = {(r["url"], r["target"]) for r in urls.page_edges(pages).collect()}
+    assert got == {(u, t) for u, _, t in LINKS if t is not None}
+
+
+def test_sql_agrees_where_pages_have_links(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(8)
+    hosts = ["a.com", "B.com", "x.org", "c.net", "example.net", "m.example.com"]
+    url = lambda: f"http://{rnd.choice(hosts)}/{rnd.choice(['', 'en/', 'de/', 'fr/', 'q/'])}{rnd.randrange(6)}"
+    rows = [(k, u, h) for k, (u, h, _) in enumerate(LINKS)]
+    for k in range(100, 500):
+        target = rnd.choice([url(), "../fr/1", "/de/2", "?x=1&#38;y=2", f"{rnd.randrange(6)}", "//c.net/3", "mailto:a"])
+        html_ = rnd.choice(['<link rel="canonical" href="{}">', "<meta http-equiv='refresh' content='0;url={}'>", "<!--<link rel=canonical href={}>-->", "<p>{}</p>"]).format(target)
+        rows.append((k, rnd.choice([url(), url(), None, "nourl"]), rnd.choice([html_, html_, None, ""])))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "pages.parquet")
+    pages.toPandas().to_parquet(path)
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, urls.page_edges(pages)).collect()), key=str)
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{path}'")
+    want = sorted(db.execute(f"select page_id, host, path, rule, verdict from ({urls.SQL})").fetchall(), key=str)
+    assert got == want
+    assert sum(v == "block" and rule is None for *_, rule, v in got) > 10
+
+
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
