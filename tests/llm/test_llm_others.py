@@ -27,6 +27,52 @@ def test_licenses_whole_changed_and_absent(spark, make_docs):
     assert licenses.scan_licenses(make_docs(rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", {"gpl-2.0-short"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3.0-short"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl-3.0-short"}),
+        ("Licensed under CC BY-SA 4.0.", {"cc-by-sa-4.0-short"}),
+        ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0-short"}),
+        ("Licensed under CC BY-NC-SA 3.0.", {"cc-by-nc-sa-3.0-short"}),
+        ("Licensed under the Apache License, Version 1.0.", {"apache-1.0-short"}),
+        ("Licensed under the Apache License, Version 2.0.", {"apache-2.0-short"}),
+        ("Released under the BSD License.", {"bsd-short"}),
+        ("Released under the MIT License.", {"mit-short"}),
+        ("Released under the Foo License.", set()),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"cc-by-sa-4.0"}),
+        (dict(licenses.TEMPLATES)["mit"], {"mit"}),
+        (dict(licenses.TEMPLATES)["bsd-2-clause"], {"bsd-2-clause"}),
+        (dict(licenses.TEMPLATES)["bsd-3-clause"], {"bsd-3-clause"}),
+    ],
+)
+def test_the_right_licence_of_a_family_is_named(text, names):
+    index = licenses.LicenseIndex(licenses.TEMPLATES)
+    assert {r[0] for r in index.scan(f"Some words before it, {text} and some after.")} == names
+
+
+def test_places_equal_those_without_index_and_winnowing():
+    rnd = random.Random(6)
+    index = licenses.LicenseIndex(licenses.TEMPLATES)
+    filler = ["some", "words", "the", "software", "license", "version", "2", "4", "and", "of"]
+    for _ in range(12):
+        out = [rnd.choice(filler) for _ in range(15)]
+        for name, text in rnd.sample([t for t in licenses.TEMPLATES if len(t[1]) < 500], 3):
+            w = licenses.WORD.findall(text)
+            for _ in range(rnd.choice([0, 1, 1, len(w) // 12])):
+                at = rnd.randrange(len(w))
+                w[at : at + 1] = rnd.choice([[], ["changed"], [w[at], "added"]])
+            out += w + [rnd.choice(filler) for _ in range(rnd.randrange(12))]
+        ids = [index.vocabulary.get(x.lower(), 0) for x in out]
+        shares = lambda w, d: any(0 <= d + i and ids[d + i : d + i + 3] == w[i : i + 3] for i in range(max(1, len(w) - 2)))
+        everywhere = {(t, d) for t in range(len(index.names)) for d in range(-len(index.words[t]), len(ids)) if shares(index.words[t], d)}
+        want = index.places(everywhere, ids, licenses.MIN_COVERAGE)
+        got = index.places(index.candidates(np.array(ids)), ids, licenses.MIN_COVERAGE)
+        assert {(index.names[t], n) for t, n, *_ in got} == {(index.names[t], n) for t, n, *_ in want}
+
+
 def test_alignment_equals_a_full_one_within_the_band():
     rnd = random.Random(2)
     index = licenses.LicenseIndex((("t", "a b c d e f g h i j"),))
