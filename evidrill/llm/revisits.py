@@ -1,9 +1,9 @@
 """Not-modified revisit resolution: an as-of join by canonical URL to the latest earlier full response.
 
 A revisit record stands for a 304 answer: it has validators and a few headers but no content. The join finds, for
-each revisit, the latest full response of the same canonical url that is earlier in (time, record id). Time is cut into buckets, so that
-neither a hot url nor a long history meets in one task: within a bucket a window carries the latest response forward;
-across buckets the latest response of earlier buckets is carried over a table of one row a url and bucket.
+each revisit, the latest full response of the same canonical url that is earlier in (time, record id). Records are dealt out in ranges of
+(url, time, id) of like size, so that neither a hot url, nor a long history, nor a burst within a second meets in one task: within a range a window carries
+the latest response of a url forward; across ranges the latest response of earlier ones is carried over a table of one row a url and range.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from evidrill.llm.common import cut, same
 from evidrill.llm.urls import canonical_url
 
-#: Seconds in a bucket. A url's records of one bucket meet in one window.
-BUCKET_SECONDS = 3600
 #: Headers that describe the stored content or the connection: a 304 answer may not change them.
 NOT_UPDATED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 
@@ -25,9 +23,11 @@ def _header(headers: Column, name: str) -> Column:
 
 
 def lower_names(headers: Column) -> Column:
-    """The map with lower-cased names; of names that meet, the last one's value. A null map is empty."""
+    """The map with lower-cased names; of names that meet, the value of the one that sorts last as written (maps have no order). A null map is empty."""
     h = F.coalesce(headers, F.create_map().cast("map<string,string>"))
-    return F.map_from_entries(F.reverse(F.array_distinct(F.reverse(F.transform(F.map_entries(h), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))))
+    entries = F.transform(F.array_sort(F.map_entries(h)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
 
 
 def merged_headers(stored: Column, update: Column, not_updated: tuple[str, ...] = NOT_UPDATED) -> Column:
@@ -49,7 +49,7 @@ def validators_agree(stored: Column, revisit: Column) -> Column:
     return F.when(both, etag == tag(stored)).when(modified.isNotNull() & _header(stored, "last-modified").isNotNull(), modified == _header(stored, "last-modified")).otherwise(etag.isNull() & modified.isNull())
 
 
-def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """(record_id, url_key, ts, resolved_id, status, headers), one row for each revisit record.
 
     records: record_id, url, ts (seconds), type ('response' or 'revisit'), headers map<string,string>. resolved_id is the latest
@@ -58,17 +58,22 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     the response's merged with the permitted ones of the revisit, else the revisit's own; names in lower case.
 
     Revisits with a null url, a url without :// or a null time are unmatched; such responses are never looked at. Equal times go by record_id,
-    repeated records all stand. Null headers are empty. Other types of records are left out, extra columns ignored.
+    repeated records all stand; responses of one id, url and time are one. Null headers are empty; of header names that differ in case the one that sorts last counts. Other types of
+    records are left out, extra columns ignored. ranges: into how many the records are dealt out; by default as many as there are shuffle partitions.
     """
     r = records.where(F.col("type").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("double").alias("ts"), "type", lower_names(F.col("headers")).alias("headers"))
     full = F.col("type") == "response"
-    usable = r.where("url_key is not null and ts is not null").withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
-    # the narrow join: only ids and times are sorted, headers follow by id
+    usable = r.where("url_key is not null and ts is not null")
+    # the narrow join: only ids and times are sorted, headers follow by id; repeated records are settled once
     # at one time and id the revisit comes first: a response isn't earlier than itself
     order = [F.col("ts"), F.col("record_id").asc_nulls_first(), full.cast("int")]
+    narrow = usable.select("record_id", "url_key", "ts", "type").distinct()
+    by = [F.col("url_key"), *order]
+    dealt = narrow.repartitionByRange(ranges, *by) if ranges else narrow.repartitionByRange(*by)
+    # cut, so that a task that runs again can't draw other ranges
+    narrow = cut(dealt.withColumn("bucket", F.spark_partition_id()))
     within = Window.partitionBy("url_key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     response = F.when(full, F.struct("ts", "record_id"))
-    narrow = usable.select("record_id", "url_key", "ts", "type", "bucket")
     lasts = narrow.groupBy("url_key", "bucket").agg(F.max(response).alias("last"))
     before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(F.col("url_key").alias("k"), F.col("bucket").alias("b"), F.last("last", ignorenulls=True).over(before).alias("carried"))

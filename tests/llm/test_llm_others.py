@@ -521,15 +521,15 @@ def brute_resolve(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [1, 10, 3600])
-def test_revisits_equal_brute_force(spark, bucket):
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_revisits_equal_brute_force(spark, ranges):
     rnd = random.Random(5)
     rows = []
     for i in range(300):
         url = rnd.choice(["http://a.com/x", "https://A.com/x#f", "http://b.org/", "http://b.org", None, "nourl"])
         rows.append((i, url, rnd.choice([None, float(rnd.randrange(60))]) if rnd.random() < 0.1 else float(rnd.randrange(60)), rnd.choice(["response", "response", "revisit", "request"]), {"etag": rnd.choice(['"1"', 'W/"1"', '"2"'])}))
     df = clashing(spark.createDataFrame(rows, RECORDS))
-    got = {r["record_id"]: (r["resolved_id"], r["status"]) for r in revisits.resolve_revisits(df, bucket).collect()}
+    got = {r["record_id"]: (r["resolved_id"], r["status"]) for r in revisits.resolve_revisits(df, ranges).collect()}
     assert got == brute_resolve(rows)
 
 
@@ -539,3 +539,16 @@ def test_permitted_headers_are_merged(spark):
     assert got[0]["headers"] == {"content-length": "10", "date": "d2", "etag": '"v"', "x-new": "2", "x-old": "1"}
     assert len(got) == 3 and got[1]["status"] == "resolved"
     assert revisits.resolve_revisits(spark.createDataFrame([], RECORDS)).collect() == []
+
+
+def test_header_names_that_differ_in_case(spark):
+    rows = [(1, "http://a/x", 1.0, "response", {"ETag": "a", "etag": "b", "Etag": "c", "X": "1"}), (2, "http://a/x", 2.0, "revisit", {"ETAG": "z", "etag": "c"})]
+    got = revisits.resolve_revisits(spark.createDataFrame(rows, RECORDS)).collect()
+    assert [(r["status"], r["resolved_id"], r["headers"]) for r in got] == [("resolved", 1, {"etag": "c", "x": "1"})]
+
+
+def test_a_burst_on_one_url_is_dealt_out(spark):
+    rows = [(k, "http://hot/x", 5.0, "response" if k % 3 else "revisit", None) for k in range(2000)]
+    df = spark.createDataFrame(rows, RECORDS)
+    got = {r["record_id"]: r["resolved_id"] for r in revisits.resolve_revisits(df, 16).collect()}
+    assert got == {k: (k - 1 if k else None) for k in range(0, 2000, 3)}
