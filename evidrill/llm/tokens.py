@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidrill.llm.common import cut
+from evidrill.llm.common import BROADCAST_ROWS, cut
 
 CACHE_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("version", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
@@ -85,7 +85,7 @@ def _cache(df: DataFrame, path: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").parquet(path)
+        spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").partitionBy("version").parquet(path)
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
@@ -93,22 +93,26 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of docs.
 
     A text's digest is that of its content, null as the empty text, which is the normal form under which
-    every tokenizer gives equal counts. Digests join the cache at cache_path by (digest, tokenizer version); each distinct text that misses
-    is encoded once, whole, and appended to the cache in one write. A run that is repeated after a failure may append a count
+    every tokenizer gives equal counts. Digests join the cache at cache_path (a folder for each tokenizer version) first; only where some miss are texts read
+    again, and up to BROADCAST_ROWS misses pick theirs without a shuffle of the others. Each distinct text that misses is encoded once, whole, and appended to the cache in one write. A run that is repeated after a failure may append a count
     that is there already; it is equal, and the join takes each digest once. An empty table gives an empty result and appends
     nothing. Nulls in doc_id come back as they are; extra columns are ignored.
     """
     version = version_of(tokenizer_path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.unhex(F.sha2(text.cast("binary"), 256))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", digest)
-    cached = _cache(docs, cache_path).where(F.col("version") == version).select("digest", "n_tokens")
-    # equal texts meet in the map-side aggregate, so a text goes to the shuffle once a task at most
-    packed = keyed.select("text").mapInArrow(_packed, "digest binary, blob binary")
-    missing = packed.groupBy("digest").agg(F.first("blob").alias("blob")).join(cached, "digest", "left_anti")
-    fresh = missing.select("digest", "blob").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
-    fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
-    counts = _cache(docs, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2(text.cast("binary"), 256)))
     rows = cut(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
+    known = _cache(docs, cache_path).where(F.col("version") == version).select("digest", "n_tokens")
+    misses = cut(rows.select("digest").distinct().join(known, "digest", "left_anti"))
+    n_misses = misses.count()
+    if n_misses:  # only now texts are read again: those that miss
+        few = n_misses <= BROADCAST_ROWS
+        wanted = keyed.join(F.broadcast(misses), "digest", "left_semi") if few else keyed
+        # equal texts meet in the map-side aggregate, so a text goes to the shuffle once a task at most
+        packed = wanted.select("text").mapInArrow(_packed, "digest binary, blob binary").groupBy("digest").agg(F.first("blob").alias("blob"))
+        missing = packed if few else packed.join(misses, "digest", "left_semi")
+        fresh = missing.select("digest", "blob").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
+        fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").partitionBy("version").parquet(cache_path)
+    counts = _cache(docs, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     out = rows.join(cut(counts), "digest").select("doc_id", "n_bytes", "n_tokens")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -207,6 +207,23 @@ def test_token_counts_and_cache(spark, make_docs, tmp_path, name):
     assert tokens.token_counts(docs.limit(0), path, str(tmp_path / "none")).collect() == []
 
 
+def test_a_warm_cache_reads_no_texts(spark, make_docs, tmp_path, monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    cache = str(tmp_path / "cache")
+    texts = [f"text number {k}" for k in range(50)]
+    first = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(make_docs(texts), path, cache).collect()}
+    encoded = []
+    encode = tokens._encode
+    monkeypatch.setattr(tokens, "_encode", lambda p: encoded.append(p) or encode(p))
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(make_docs(texts), path, cache).collect()} == first
+    assert not encoded
+    # more misses than are broadcast
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", 1)
+    more = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(make_docs([*texts, "new one", "new two", "new two"]), path, cache).collect()}
+    assert encoded and {k: v for k, v in more.items() if k < 50} == first and more[51] == more[52]
+    assert spark.read.parquet(cache).count() == 52
+
+
 # --- html -------------------------------------------------------------------------------------------------------------
 
 
