@@ -1,8 +1,8 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Windows of 13 normalised words of the benchmark make a set; token windows of the documents are looked up in
-it. The lookup goes by a fingerprint of a few of a window's words, which is cheap to make at every position; each
-position that it finds is verified against the whole window. Hit positions are united
+Windows of 13 normalised words of the benchmark make a broadcast hash set; token windows of the documents are looked up in
+it. The set is keyed by each window's rarest word, so that a position of a document costs one probe with the word that is there; the window
+around it that the set names is verified word by word. Hit positions are united
 to covered words, and a document loses its covered spans or goes as a whole.
 """
 
@@ -15,70 +15,91 @@ from evidrill.llm.common import cut, same, small
 
 #: Words in a window.
 WINDOW = 13
-#: Beyond so many windows the set is not broadcast but joined by a shuffle. A window is at most a few hundred bytes.
+#: Windows up to which the set is broadcast with its words, if these have no more than BROADCAST_BYTES. Beyond, only the (key, offset, length) places of windows are, up to BROADCAST_KEYS of
+#: some 50 bytes, and the positions that they find meet the windows in a shuffle.
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 64 << 20
+BROADCAST_KEYS = 4_000_000
+
+#: Words of a text that go through the search together.
+CHUNK = 512
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower case.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """The normalised words: A-Z in lower case, runs of digits, letters a-z and all characters beyond ASCII."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
-    return F.array_remove(parts, "")
-
+    text = F.coalesce(text, F.lit(""))
+    # in a text of ASCII alone lower() does what translate() does, a byte at a time
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(low, SEPARATORS), "")
 
-def _anchor(hashes: Column, at: Column, length: int) -> Column:
-    """A fingerprint of up to four words of the window that starts at index `at` (from 0)."""
-    picks = sorted({0, length // 3, 2 * length // 3, length - 1})
-    return F.xxhash64(*[F.get(hashes, at + F.lit(p)) for p in picks])
 
-
-def _anchor_at(length: int):
-    return lambda i: _anchor(F.col("h"), i, length)
+def word_count(text: Column) -> Column:
+    """How many words() there are; letters need not be lowered for that."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), RAW_SEPARATORS), "")).cast("long")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, length, anchor, tokens): every window of every item, once an item. Shorter items are one window."""
+    """(item_id, length, tokens): every window of every item, once an item. Shorter items are one window."""
     b = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(window))
     starts = F.sequence(F.lit(0), F.size("w") - length)
-    w = b.select("item_id", length.alias("length"), F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, length))).alias("tokens")).distinct()
-    hashes = F.transform("tokens", lambda x: F.xxhash64(x))
-    anchor = F.coalesce(*[F.when(F.col("length") == n, _anchor(F.col("h"), F.lit(0), n)) for n in range(1, window + 1)])
-    return w.withColumn("h", hashes).withColumn("anchor", anchor).drop("h")
+    return b.select("item_id", length.alias("length"), F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, length))).alias("tokens")).distinct()
+
 
+def keyed_windows(windows: DataFrame) -> DataFrame:
+    """(window_id, length, tokens, key, offset): each window once, with its rarest word and where that first stands.
 
-def hit_windows(docs: DataFrame, windows: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    Rare is what few windows hold; of equals the longest word.
+    """
+    distinct = cut(windows.select("length", "tokens").distinct().withColumn("window_id", F.xxhash64("length", "tokens")))
+    each = distinct.select("length", "tokens", F.posexplode("tokens").alias("offset", "key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("n"))
+    rank = F.struct("n", (-F.length("key")).alias("short"), "key", "offset")
+    best = each.join(counts, "key").groupBy("length", "tokens").agg(F.min(rank).alias("best"))
+    return cut(best.select(F.xxhash64("length", "tokens").alias("window_id"), "length", "tokens", "best.key", "best.offset"))
+
+
+def _positions(docs: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, text_key, word, pos, at, near) of each word of the documents: near has the words up to `reach` before and after a chunk of the text, the
+    word itself at index at. Texts are cut into chunks first, so that no row carries more than a chunk with it, however long the text."""
+    w = words(F.col("text"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), w.alias("w"))
+    first = lambda s: F.greatest(s - F.lit(reach), F.lit(0))
+    chunk = lambda s: F.struct(s.alias("s"), F.slice("w", first(s) + 1, s - first(s) + F.lit(CHUNK + reach)).alias("near"))
+    starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(CHUNK)))
+    chunks = base.select("doc_id", "text_key", F.explode(F.transform(starts, chunk)).alias("c"))
+    chunks = chunks.select("doc_id", "text_key", "c.s", F.least("c.s", F.lit(reach)).alias("lead"), "c.near")
+    each = chunks.select("doc_id", "text_key", "s", "lead", "near", F.posexplode("near").alias("at", "word"))
+    own = (F.col("at") >= F.col("lead")) & (F.col("at") < F.col("lead") + F.lit(CHUNK))  # the others belong to a chunk of their own
+    return each.where(own).select("doc_id", "text_key", "word", (F.col("s") - F.col("lead") + F.col("at")).alias("pos"), "at", "near")
+
+
+def hit_windows(docs: DataFrame, windows: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc_id, text_key, start, length, window_id) for every occurrence of a window in a document."""
-    distinct = cut(windows.groupBy("length", "anchor", "tokens").agg(F.min(F.struct("item_id")).alias("first")).select("length", "anchor", "tokens", F.xxhash64("length", "tokens").alias("window_id")))
-    count = distinct.count()
-    lengths = sorted(r[0] for r in distinct.select("length").distinct().collect())  # at most `window` numbers
-    if not lengths:
-        none = docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("window_id"))
-        return none.where("false")
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    base = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    # the fingerprints of all lengths in one array, so that a text is split once
-    places = {n: F.greatest(F.size("w") - F.lit(n - 1), F.lit(0)) for n in lengths}
-    anchors = F.concat(*[F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - F.lit(n)), _anchor_at(n))).otherwise(F.array().cast("array<bigint>")) for n in lengths])
-    at = base.select("doc_id", "text_key", "w", F.posexplode(anchors).alias("pos", "anchor"))
-    before, length, start = F.lit(0), F.lit(lengths[-1]), F.col("pos")
-    for k, n in enumerate(lengths[:-1]):
-        here = F.col("pos") < before + places[n]
-        length = F.when(here, F.lit(n)) if k == 0 else length.when(here, F.lit(n))
-        start = F.when(here, F.col("pos") - before) if k == 0 else start.when(here, F.col("pos") - before)
-        before = before + places[n]
-    if len(lengths) > 1:
-        length, start = length.otherwise(F.lit(lengths[-1])), start.otherwise(F.col("pos") - before)
-    mine = distinct.select(F.col("anchor").alias("a"), F.col("length").alias("l"), "tokens", "window_id")
-    if count <= broadcast_windows:  # the words stay in the generating row; only hits leave the stage
-        hit = at.join(F.broadcast(mine), at["anchor"] == mine["a"]).withColumn("start", start).withColumn("length", length)
-        hit = hit.where((F.col("length") == F.col("l")) & (F.slice("w", F.col("start") + 1, F.col("length")) == F.col("tokens")))
-    else:  # a position goes to the shuffle with its own words only
-        at = at.withColumn("start", start).withColumn("length", length)
-        at = at.select("doc_id", "text_key", "start", "length", "anchor", F.slice("w", F.col("start") + 1, F.col("length")).alias("own"))
-        hit = at.join(mine, (at["anchor"] == mine["a"]) & (at["length"] == mine["l"]) & (at["own"] == mine["tokens"]))
+    keyed = keyed_windows(windows)
+    at = _positions(docs, window - 1)
+    fits = (F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("length") <= F.size("near"))
+    own = F.slice("near", F.greatest(F.col("at") - F.col("offset"), F.lit(0)) + 1, F.col("length"))
+    start = (F.col("pos") - F.col("offset")).alias("start")
+    count, size = keyed.agg(F.count("*"), F.sum(F.octet_length(F.array_join("tokens", " ")))).first()
+    if count <= broadcast_windows and (size or 0) <= BROADCAST_BYTES:  # all in one stage: only hits leave it
+        hit = at.join(F.broadcast(keyed), F.col("word") == F.col("key")).where(fits & (own == F.col("tokens")))
+        return hit.select("doc_id", "text_key", start, "length", "window_id")
+    # the places of keys without the windows' words are few; what they find goes to the shuffle with its own words
+    places = cut(keyed.select("key", "offset", "length").distinct())
+    if places.count() <= broadcast_keys:
+        places = F.broadcast(places)
+    else:  # then each position is shuffled, with the words around it
+        before = F.least(F.col("at"), F.lit(window - 1))
+        at = at.select("doc_id", "text_key", "word", "pos", F.slice("near", F.col("at") - before + 1, before + window).alias("near"), before.alias("at"))
+    found = at.join(places, F.col("word") == F.col("key")).where(fits)
+    found = found.select("doc_id", "text_key", start, "length", own.alias("own")).withColumn("own_id", F.xxhash64("length", "own"))
+    hit = found.join(keyed.select("window_id", "tokens"), (F.col("own_id") == F.col("window_id")) & (F.col("own") == F.col("tokens")))
     return hit.select("doc_id", "text_key", "start", "length", "window_id")
 
 
@@ -100,7 +121,7 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, empty, add)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = 20, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, text_key.
 
     n_hit counts the words inside any occurrence of a benchmark window, n_items the items with such a window;
@@ -112,7 +133,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share:
     """
     docs = docs.select("doc_id", "text")
     windows = cut(benchmark_windows(benchmark.select("item_id", "text"), window))
-    found = hit_windows(docs, windows, window, broadcast_windows)
+    found = hit_windows(docs, windows, window, broadcast_windows, broadcast_keys)
     # positions of one window in one document first meet in the map-side partial aggregate
     per = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"), F.collect_set("window_id").alias("ids"))
     per = cut(per)
@@ -120,7 +141,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share:
     who = per.select("doc_id", "text_key", F.explode("ids").alias("window_id")).join(items, "window_id").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     who = who.select(F.col("doc_id").alias("d2"), F.col("text_key").alias("k2"), "items")
     spans = per.select(F.col("doc_id").alias("d1"), F.col("text_key").alias("k1"), "spans")
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("n_words"))
     out = base.join(spans, same(base["doc_id"], spans["d1"]) & (base["text_key"] == spans["k1"]), "left")
     out = out.join(who, same(out["doc_id"], who["d2"]) & (out["text_key"] == who["k2"]), "left")
     n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long")

@@ -31,8 +31,8 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("broadcast_windows", [10_000, 0])
-def test_scan_equals_brute_force(spark, make_docs, broadcast_windows):
+@pytest.mark.parametrize(("broadcast_windows", "broadcast_keys"), [(10_000, 0), (0, 10_000), (0, 0)])
+def test_scan_equals_brute_force(spark, make_docs, broadcast_windows, broadcast_keys):
     rnd = random.Random(1)
     vocabulary = ["the", "Of", "ÉA", "b2", "naïve", "x", "tion", "re", "and"]
     text = lambda n: "".join(rnd.choice(vocabulary) + rnd.choice([" ", "\n", ", ", "--", "\t"]) for _ in range(n))
@@ -40,7 +40,7 @@ def test_scan_equals_brute_force(spark, make_docs, broadcast_windows):
     docs = [(k, text(rnd.randrange(1, 80)) + (items[k % 7][1].upper() if k % 3 == 0 else "") + text(rnd.randrange(0, 60))) for k in range(60)]
     docs += [(90, None), (91, ""), (92, "?!"), (93, items[0][1] + text(400)), (94, text(20000) + items[1][1])]
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:6] for r in decontam.scan(clashing(make_docs(docs)), clashing(b), broadcast_windows=broadcast_windows).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
+    got = {r["doc_id"]: tuple(r)[1:6] for r in decontam.scan(clashing(make_docs(docs)), clashing(b), broadcast_windows=broadcast_windows, broadcast_keys=broadcast_keys).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
     assert got == brute(docs, items)
 
 
