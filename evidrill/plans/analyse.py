@@ -13,22 +13,19 @@ from evidrill.operators import detection, fdr, inference, mixture, prep
 NULL_SIZE = 25_000
 
 
-def evidence_of(m: DataFrame, bait, prior: inference.Priors, nu: float | None = None, missing_detection: float = 0.0) -> DataFrame:
-    """(protein, three Bayes factors, mean_log2fc, sd_log2fc) from one grouped map and one aggregate."""
-    scores = inference.score_proteins(m, bait, prior, nu).select("protein", "bf_enrichment", "bf_correlation", "mean_log2fc", "sd_log2fc")
+def evidence_of(m: DataFrame, bait, prior: inference.Priors, nu: float | None = None, missing_detection: float = 0.0, bait_rows=None) -> DataFrame:
+    """(protein, three Bayes factors, mean_log2fc, sd_log2fc) from one map over proteins and one aggregate."""
+    scores = inference.score_proteins(m, bait, prior, nu, bait_rows).select("protein", "bf_enrichment", "bf_correlation", "mean_log2fc", "sd_log2fc")
     found = detection.detection(detection.counts(m)).select("protein", F.coalesce("bf_detected", F.lit(missing_detection)).alias("bf_detected"))
     return scores.join(found, "protein").where("bf_enrichment is not null and bf_correlation is not null")
 
 
 def null_evidence(m: DataFrame, bait, prior: inference.Priors, copies: int, nu: float | None = None, seed: int = 0) -> DataFrame:
-    """Evidence of proteins under permuted labels, the bait's pinned; the bait itself is left out."""
-    p = prep.permuted(m, bait, copies, seed)
+    """Evidence of proteins under permuted labels, the bait's pinned; the bait itself is left out. All copies go through one plan."""
+    p = prep.permuted(m, bait, copies, seed).where(F.col("protein") != F.lit(bait))
     key = F.concat_ws("_perm", F.col("protein").cast("string"), F.col("copy").cast("string"))
-    out = None
-    for copy in range(1, copies + 1):
-        one = evidence_of(p.where(F.col("copy") == copy).drop("copy"), bait, prior, nu, 1.0).withColumn("copy", F.lit(copy))
-        out = one if out is None else out.unionByName(one)
-    return out.where((F.col("protein") != F.lit(bait)) & (F.col("bf_correlation") != 0)).withColumn("protein", key).drop("copy")
+    found = evidence_of(p.withColumn("protein", key).drop("copy"), bait, prior, nu, 1.0, inference.bait_frame(m, bait))
+    return found.where(F.col("bf_correlation") != 0)
 
 
 def copies_for(proteins: int) -> int:

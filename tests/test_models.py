@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,35 @@ def test_power_grows_with_size(spark):
 def test_math_of_cosine_annealing():
     assert diagnostics.cosine_annealing(0, 10, 1.0) == 1.0 and diagnostics.cosine_annealing(10, 10, 1.0) == pytest.approx(0.0)
     assert math.isclose(diagnostics.cosine_annealing(0, 10, 1.0, warmup=2), 0.5)
+
+
+@pytest.mark.parametrize("nu", [None, 5.0])
+def test_batches_equal_proteins_one_by_one(nu):
+    rng = np.random.default_rng(0)
+    rows = []
+    for r in range(40):
+        for p, e in ((1, 1), (1, 2), (2, 1), (3, 1), (3, 2)):
+            if rng.random() < 0.15 and r:
+                continue
+            for arm in ("Sample", "Control"):
+                rows += [(r, p, e, arm, k, rng.normal(20 + 2 * (arm == "Sample" and r % 3 == 0)) if rng.random() > 0.25 else np.nan) for k in range(4)]
+    pdf = pd.DataFrame(rows, columns=["row", "protocol", "experiment", "sample_type", "replicate", "value"])
+    bait = pdf[pdf["row"] == 0].rename(columns={"value": "x"}).drop(columns="row")
+    prior = inference.Priors(20.0, 1.5, 2.0, 0.8, 1.3)
+    got = inference._scored(pdf, 40, prior, bait, nu)
+    one = inference.scorer("protein", prior, bait, nu)
+    want = pd.concat([one(pdf[pdf["row"] == k].assign(protein=k)) for k in range(40)])
+    for f in ("bf_enrichment", "mean_log2fc", "sd_log2fc", "pd_log2fc", "ci_lo", "ci_hi", "bf_correlation", "mean_slope", "sd_slope", "n_pairs"):
+        assert np.asarray(got[f], float) == pytest.approx(want[f].to_numpy(float), rel=1e-7, nan_ok=True)
+    assert list(got["direction"]) == list(want["direction"])
+
+
+def test_runs_from_several_starts_end_where_one_alone_does(spark):
+    p = mixture.triplets(two_classes(spark, 300, 60))
+    h0 = mixture.fit_joint(mixture.triplets(two_classes(spark, 300, 0)))
+    together = mixture.fit_mixtures(p, h0, (0.7, 0.9), steps=200, family="Frank")
+    alone = mixture.fit_mixture(p, h0, share=0.9, steps=200, family="Frank")
+    assert np.array(together[1].log) == pytest.approx(np.array(alone.log)) and all(m.converged for m in together)
+    assert together[0].shares[1] == pytest.approx(together[1].shares[1], abs=0.03)
+    plain = [x[3] for x in together[0].log]
+    assert max(plain[-5:]) >= max(plain) - 1.0
