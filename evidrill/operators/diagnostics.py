@@ -229,10 +229,11 @@ def rank_frequency(r: DataFrame) -> DataFrame:
 def hpdi(draws: DataFrame, mass: float = 0.95, value: str = "value") -> DataFrame:
     """(entity, lo, hi): the shortest interval that holds the mass of an entity's draws; of equal ones the lowest."""
     by = Window.partitionBy("entity")
-    n = F.count(value).over(by)
-    s = draws.where(F.col(value).isNotNull()).select("entity", F.col(value).alias("lo"), n.alias("n"), F.row_number().over(by.orderBy(value)).alias("i"), F.collect_list(value).over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    s = draws.where(F.col(value).isNotNull()).select("entity", F.col(value).alias("lo"), F.count("*").over(by).alias("n"), F.row_number().over(by.orderBy(value)).alias("i"))
     k = F.greatest(F.lit(1), F.ceil(F.lit(mass) * F.col("n"))).cast("int")
-    s = s.where(F.col("i") + k - 1 <= F.col("n")).withColumn("hi", F.get("all", (F.col("i") + k - 2).cast("int")))
+    # the upper end is the value k - 1 ranks on: each draw meets one other, no row carries the others
+    ends = s.select(F.col("entity").alias("__e"), (F.col("i") - k + 1).alias("__i"), F.col("lo").alias("hi")).where("__i >= 1")
+    s = s.join(ends, (F.col("entity") == F.col("__e")) & (F.col("i") == F.col("__i")))
     return s.groupBy("entity").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo", "hi")).alias("b")).select("entity", "b.lo", "b.hi")
 
 

@@ -5,25 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a cell of the ranking of probabilities, for tables whose rows no single task should sort.
-CELLS = 4096
+from evidrill.operators.iterate import cut
 
 
 def with_q(rows: DataFrame, p: str, q: str = "q", key: str | None = None) -> DataFrame:
     """rows with q: the mean of 1 - p over all rows with a p at least as high, in falling order (ties by key).
 
-    Null p has a null q and no rank; p = 0 has q = 1. Running sums go in two steps, so that no task sorts the table: rows are dealt out by cells
-    of p, one running sum runs over the cells' totals, one within each cell.
+    Null p has a null q and no rank; p = 0 has q = 1. Running sums go in two steps, so that no task sorts the table: rows are dealt out in ranges of
+    (p, key) of like size, wherever p piles up; one running sum runs over the ranges' totals, one within each range. The ranges are cut, so that a
+    task that runs again can't draw others.
     """
-    cell = F.floor((1 - F.col(p)) * CELLS)
-    order = [F.col(p).desc()] + ([F.col(key)] if key else [])
-    ranked = rows.withColumn("__cell", cell)
+    order = [F.col(p).desc_nulls_last()] + ([F.col(key)] if key else [])
+    ranked = cut(rows.repartitionByRange(*order).withColumn("__cell", F.spark_partition_id()))
     totals = ranked.where(F.col(p).isNotNull()).groupBy("__cell").agg(F.count("*").alias("__n"), F.sum(1 - F.col(p)).alias("__s"))
-    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     totals = totals.select(F.col("__cell").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s0"))
     within = Window.partitionBy("__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = ranked.withColumn("__n1", F.count("*").over(within)).withColumn("__s1", F.sum(1 - F.col(p)).over(within))
-    joined = run.join(F.broadcast(totals), run["__cell"] == totals["__c"], "left")  # at most CELLS + 1 rows
+    joined = run.join(F.broadcast(totals), run["__cell"] == totals["__c"], "left")  # as many rows as ranges
     value = (F.col("__s0") + F.col("__s1")) / (F.col("__n0") + F.col("__n1"))
     out = joined.withColumn(q, F.when(F.col(p).isNull(), F.lit(None).cast("double")).when(F.col(p) == 0, F.lit(1.0)).otherwise(value))
     return out.select(*rows.columns, q) if q not in rows.columns else out.select(*rows.columns)

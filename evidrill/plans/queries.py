@@ -620,10 +620,10 @@ def greedy_modularity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _register_whole(source: str, whole: str, *names: str) -> None:
-    """whole_<name>: the named queries without their input's filter, each held to its own SQL over all rows."""
+    """Lets the named queries and their SQL run without their input's filter, over all rows."""
     for name in names:
-        QUERIES[f"whole_{name}"] = partial(QUERIES[name], whole=True)
-        SQL[f"whole_{name}"] = SQL[name].replace(source, whole)
+        QUERIES[name] = partial(QUERIES[name], whole=True)
+        SQL[name] = SQL[name].replace(source, whole)
 
 
 _register_whole(GRAPH, WHOLE_GRAPH, "edge_source_summary", "node_degree", "clustering_coefficient", "connected_components", "network_statistics", "modularity", "top_hubs", "pagerank")
@@ -898,22 +898,12 @@ def prediction_table(spark: SparkSession, sf: str, whole: bool = False) -> DataF
     return t.select(F.col("a").cast("long").alias("a"), "b", (F.col("nscore") + F.lit(0.0)).alias("nscore"))
 
 
-@query(f"with {GRAPH}, ps as (select n_nationkey as a, n_nationkey + 3 as b, (n_nationkey % 10) / 10.0 as score from nation), k as (select * from ps where score >= 0.4 and a in (select x from bw) and b in (select x from bw)), w as (select a, b, round(least(greatest(score, 0.001), 0.999) * 0.998 / ((1 - least(greatest(score, 0.001), 0.999)) * 0.002) * 0.05 / (least(greatest(score, 0.001), 0.999) * 0.998 / ((1 - least(greatest(score, 0.001), 0.999)) * 0.002) * 0.05 + 0.95), 6) as weight from k) select cast(a as bigint) as source, cast(b as bigint) as target, weight from w union all select b, a, weight from w")
-def network_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    g = _graph(spark, sf)
-    n = F.col("n_nationkey")
-    pairs = table(spark, sf, "nation").select(n.cast("long").alias("a"), (n + 3).cast("long").alias("b"), ((n % 10) / 10.0).alias("score"))
-    proteins = network.degrees(g).select("protein")
-    e = network.enriched(g.limit(0), pairs, proteins)
-    return rounded(e.select("source", "target", "weight"), "weight")
-
-
 _CLAMPED = "least(greatest(score, 0.001), 0.999)"
 _KNOWN = f"{_CLAMPED} * 0.998 / ((1 - {_CLAMPED}) * 0.002) * 0.05"
 
 
 @query(f"with {WHOLE_GRAPH}, ps as (select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, max(l_discount * 10) as score from lineitem where l_partkey <> l_suppkey group by all), k as (select * from ps where score >= 0.4 and a in (select x from bw) and b in (select x from bw)), w as (select a, b, round({_KNOWN} / ({_KNOWN} + 0.95), 6) as weight from k) select source, target, weight, case when weight > 1 then 'database' else 'bait' end as edge_source from eg union all select a, b, weight, 'database' from w union all select b, a, weight, 'database' from w")
-def whole_network_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+def network_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf, True)
     pairs = table(spark, sf, "lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), (F.col("l_discount") * 10).alias("score"))
     return rounded(network.enriched(g, pairs, network.degrees(g).select("protein")), "weight")
@@ -975,7 +965,7 @@ for _line in (1, 2):
     _register_whole(f" where l_linenumber = {_line}", "", ("ppi_weight", "ppi_channel_weight")[_line - 1])
 _register_whole(" where l_linenumber = 5", "", "prediction_table")
 _register_whole(" where l_linenumber = 1", "", "unordered_pair_join")
-SQL["whole_unordered_pair_join"] = SQL["whole_unordered_pair_join"].replace(" where l_linenumber > 4", "")
+SQL["unordered_pair_join"] = SQL["unordered_pair_join"].replace(" where l_linenumber > 4", "")
 
 
 # --- inference ---------------------------------------------------------------------------------------------------------

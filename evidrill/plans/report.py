@@ -100,5 +100,8 @@ def export_tables(path: str, **tables: DataFrame) -> None:
 
 
 def export_workbook(path: str, limit: int = REPORT_ROWS, **sheets: DataFrame) -> None:
-    """A workbook of small tables."""
-    write_xlsx(path, {name: [df.columns, *(list(r) for r in df.limit(limit).collect())] for name, df in sheets.items()})
+    """A workbook of small tables; a table of more than limit rows raises."""
+    found = {name: [list(r) for r in df.limit(limit + 1).collect()] for name, df in sheets.items()}
+    if long := [name for name, rows in found.items() if len(rows) > limit]:
+        raise ValueError(f"more than {limit} rows: {', '.join(long)}")
+    write_xlsx(path, {name: [df.columns, *found[name]] for name, df in sheets.items()})
