@@ -15,7 +15,7 @@ TEXT_BATCH_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir that all executors share.
 
-    Where the setting is absent (tests, a notebook on one machine) a temporary folder takes its place.
+    Where the setting is absent on one machine (tests, a notebook) a temporary folder takes its place; on a cluster that raises.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="evidrill-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
